@@ -1,7 +1,8 @@
 """Exact tokenization with the tokenizers library and a cache of pre-tokens.
 
 BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in
-order. Pre-tokens repeat a lot; each worker encodes a new one once. Texts with
+order. Pre-tokens repeat a lot; each worker has the library's BPE model encode a
+new one once. Texts with
 characters outside a safe alphabet, where Python's and the library's Unicode
 tables could disagree or normalization reaches across pre-tokens, are encoded
 whole by the library.
@@ -12,11 +13,15 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
+from struct import pack as pack_ids
 
 import numpy as np
 
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Printable ASCII, tab, newline, Latin letters but dotted capital I, dashes and quotes, the euro sign.
+#: ByteLevel writes each byte as a printable character: itself, or one from U+0100 on.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+#: Anything but printable ASCII, tab, newlines, Latin letters without dotted capital I, dashes and quotes, the euro sign.
 UNSAFE = r"[^\t\n\r\x20-\x7e¡-¬®-įı-ɏ‐-‧€]"
 
 
@@ -50,38 +55,49 @@ class Encoder:
             return None
         return self.pattern.findall(text.lower() if self.lower else text)
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.cache]
+    def chunks(self, text: str) -> list[str] | None:
+        """The text cut at white space, where pre-tokens always end too; None if the library must encode it whole."""
+        if self.pattern is None or self.unsafe(text):
+            return None
+        if self.lower:
+            return text.lower().split()
+        if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or "\t" in text or "\r" in text:
+            return self.pattern.findall(text)  # how a run of white space is cut depends on what follows
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+    def learn(self, chunks: set[str]) -> None:
+        new = chunks - self.cache.keys()
         if len(self.cache) + len(new) > self.most:
             self.cache.clear()
-            new = list(words)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+            new = chunks
+        model, table, find = self.tokenizer.model.tokenize, BYTE_CHARS, self.pattern.findall
+        for c in new:
+            words = [c] if c.isalpha() or (c[:1] == " " and c[1:].isalpha()) else find(c)
+            ids = [t.id for w in words for t in model(w.encode().decode("latin-1").translate(table))]
+            self.cache[c] = pack_ids(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         start = 0
-        while start < len(texts):  # about 4 MB at a time bound the words held
+        while start < len(texts):  # about 4 MB at a time bound the chunks held
             end, size = start, 0
             while end < len(texts) and (size == 0 or size < 4_000_000):
                 size += len(texts[end])
                 end += 1
-            words = [self.splits(t) for t in texts[start:end]]
-            self.learn(set().union(*[w for w in words if w is not None]))
+            chunks = [self.chunks(t) for t in texts[start:end]]
+            self.learn(set().union(*[c for c in chunks if c is not None]))
             get = self.cache.__getitem__
-            for i, w in enumerate(words, start):
-                if w is None:
+            for i, c in enumerate(chunks, start):
+                if c is None:
                     ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
                     out[i] = np.array(ids, "<u4")
                 else:
-                    out[i] = np.frombuffer(b"".join(map(get, w)), "<u4")
+                    out[i] = np.frombuffer(b"".join(map(get, c)), "<u4")
             start = end
         return out
 
     def count(self, words: list[str]) -> list[int]:
-        self.learn(set(words))
+        self.learn(set(words))  # pre-tokens are chunks of their own
         get = self.cache.__getitem__
         return [len(get(w)) >> 2 for w in words]
 
