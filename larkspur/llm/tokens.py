@@ -66,7 +66,7 @@ class Encoder:
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def learn(self, chunks: set[str]) -> None:
-        new = chunks - self.cache.keys()
+        new = [c for c in chunks if c not in self.cache]
         if len(self.cache) + len(new) > self.most:
             self.cache.clear()
             new = chunks

@@ -253,7 +253,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             bags = [tokens(t) for t in batch.column(2).to_pylist()]
             if len(known) > 400_000:
                 known.clear()
-            new = sorted(set().union(*bags) - known.keys())
+            new = sorted(t for t in set().union(*bags) if t not in known)
             for i in range(0, len(new), 5000):
                 split = [parts(t) for t in new[i : i + 5000]]
                 flat = [w for ws in split for w in ws]
