@@ -241,12 +241,16 @@ def linked(classes: DataFrame, n: int, blocks: int, width: int, radius: int, mos
     A pair links if one of ``blocks`` blocks of ``width`` bits is within
     ``radius`` and the whole fingerprints are within ``most``.
     """
+    if not n:
+        return classes.select(F.col("node").alias("a"), F.col("node").alias("b"))
     sample = as_words(pa.array([bytes(r[0]) for r in classes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], pa.binary()))
-    shards = max(-(-n // PER_SHARD), min(16, n // 2000) if blocks == 1 else 1)
+    shards = max(1, -(-n // PER_SHARD), min(16, n // 2000) if blocks == 1 else 1)
     trees = [vantage_tree(block(sample, k, width), max(16, len(sample) // shards)) for k in range(blocks)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             fp = as_words(batch.column(0))
             for k in range(blocks):
                 for rows, shard, home in route(block(fp, k, width), trees[k], radius):
