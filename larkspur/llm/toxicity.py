@@ -196,12 +196,12 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
         lookup = np.zeros((TABLE, 1), np.int32)
         lookup[used, 0] = np.arange(1, len(used) + 1)
         columns = np.vstack([np.zeros(len(landmarks), np.float32), phi.T.astype(np.float32)])
-        for i in range(0, len(ws), 500):
-            part = ws[i : i + 500]
+        for i in range(0, len(ws), 200):
+            part = ws[i : i + 200]
             at, slots, weights = subsequences(part)
             m = np.zeros((len(part), len(used) + 1), np.float32)
             np.add.at(m, (at, lookup[slots, 0]), weights)
-            out[i : i + 500] = (m @ columns) / norms(at, weights, len(part))[:, None]
+            out[i : i + 200] = (m @ columns) / norms(at, weights, len(part))[:, None]
         return out @ whiten
 
     x0 = embed(clean)
@@ -216,12 +216,12 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
         w, bias = svm(x, labels, cost)
         model = Model(bias=float(bias))
         model.table[used] = phi.T @ (whiten @ w)
-        scores = dict(zip(able_words, model.word_scores(able_words)))
+        scores = {w: v for i in range(0, len(able_words), 5000) for w, v in zip(able_words[i : i + 5000], model.word_scores(able_words[i : i + 5000]))}
         witness = []
         for b in bad_bags:
             best = sorted((v for v in b if v in able), key=lambda v: (-scores[v], v))[:3]
             witness.append([v for v in best if scores[v] > 0] or [v for v in best[:1] if scores[v] > -0.7])
-        s0 = np.concatenate([model.word_scores(clean_words[i : i + 20_000]) for i in range(0, len(clean_words), 20_000)])
+        s0 = np.concatenate([model.word_scores(clean_words[i : i + 5000]) for i in range(0, len(clean_words), 5000)])
         hard = list(dict.fromkeys(hard + [clean_words[i] for i in np.argsort(-s0, kind="stable")[:1000]]))
     best = np.array([model.word_scores(b).max() if b else NOTHING for b in bags])
     # One threshold on the bag's best word: the fewest balanced errors, then a logistic slope around it.
@@ -233,14 +233,29 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, use: Column | None, id_col: str, text_col: str, label_col: str, sample: int) -> list:
-    """A bounded sample of labelled documents, the same for the same rows: least hashes of ids first."""
+def training_rows(docs: DataFrame, labels: DataFrame, use: Column | None, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
+    """A bounded sample of labelled documents (d_id, text, y), the same for the same rows: least hashes of ids first."""
     rows = labels.select(labels[id_col].alias("l_id"), labels[label_col].alias("y")).where("l_id IS NOT NULL AND y IS NOT NULL").dropDuplicates(["l_id"])
     if use is not None:
         rows = rows.where(use)
     picked = rows.orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
-    texts = docs.select(docs[id_col].alias("d_id"), docs[text_col].alias("text"))
-    return texts.join(F.broadcast(picked), F.col("d_id") == F.col("l_id")).select("d_id", "text", "y").limit(2 * sample).collect()
+    texts = docs.select(docs[id_col].cast("long").alias("d_id"), docs[text_col].alias("text"))
+    joined = texts.join(F.broadcast(picked), F.col("d_id") == F.col("l_id"))
+    return joined.select("d_id", "text", F.col("y").cast("int").alias("y")).limit(2 * sample)
+
+
+def fit(rows: DataFrame) -> Model:
+    """Train in one task on the bounded sample, so that the driver only receives the model."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: (r[0], r[1] or ""))
+        m = train([r[1] for r in found], [r[2] for r in found])
+        yield pa.RecordBatch.from_pylist([{"weights": m.table.tobytes(), "bias": float(m.bias), "slope": float(m.slope), "center": float(m.center)}])
+
+    row = rows.repartition(1).mapInArrow(task, "weights binary, bias double, slope double, center double").first()
+    if row is None:
+        return train([], [])
+    return Model(np.frombuffer(bytes(row["weights"]), np.float32), row["bias"], row["slope"], row["center"])
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,7 +284,5 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 def toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Train on the labelled documents that ``use`` (a condition on ``l_id``) admits; doc_id, th, score of every document."""
-    rows = training_rows(docs, labels, use, id_col, text_col, label_col, sample)
-    rows.sort(key=lambda r: (r["d_id"], r["text"] or ""))
-    model = train([r["text"] for r in rows], [int(r["y"]) for r in rows])
+    model = fit(training_rows(docs, labels, use, id_col, text_col, label_col, sample))
     return score_documents(docs, model, id_col, text_col)
