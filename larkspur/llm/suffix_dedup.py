@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ from .common import keyed, materialize, same_row, text_key
 
 LENGTH, GRAM = 200, 80
 OFFSETS = LENGTH - GRAM + 1  # an anchor starts 0 .. OFFSETS - 1 bytes into its string
-PIECE = 2_000_000
+PIECE = 200_000
 SPLITTERS_PER_BUCKET, BUCKET_ROWS = 8, 60_000
 PRIME = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -77,51 +78,72 @@ def range_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndar
     return (sums[stop] - sums[start]) * _cached[1][start]
 
 
-def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start of the string, anchor) wherever the anchor changes, for one piece of text."""
+_places: list[np.ndarray] = []
+
+
+def places(n: int) -> np.ndarray:
+    """Positions modulo 2 * OFFSETS."""
+    if not _places or len(_places[0]) < n:
+        _places[:] = [np.arange(max(n, PIECE + LENGTH)) % (2 * OFFSETS)]
+    return _places[0][:n]
+
+
+def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of the string, anchor, k-gram hash) wherever the anchor changes, for one piece of text."""
     n = len(data) - LENGTH + 1
     sums = prefix_sums(data)
-    at = np.arange(len(data) - GRAM + 1)
+    raw = (sums[GRAM:] - sums[:-GRAM]) * _cached[1][: len(data) - GRAM + 1]
     # The least hash, rightmost first; the low bits make room for the position within the block pair.
-    h = mixed((sums[GRAM:] - sums[:-GRAM]) * _cached[1][: len(at)], 0xD6E8FEB86659FD93) & np.uint64(MASK ^ 0xFF)
-    h |= np.uint64(0xFF) - (at % (2 * OFFSETS)).astype(np.uint64)
+    h = mixed(raw, 0xD6E8FEB86659FD93) & np.uint64(MASK ^ 0xFF)
+    h |= (0xFF - places(len(h))).astype(np.uint64)
     if len(h) % OFFSETS:
         h = np.append(h, np.full(-len(h) % OFFSETS, MASK, np.uint64))
     x = h.reshape(-1, OFFSETS)
     ahead = np.minimum.accumulate(x, axis=1).ravel()
     behind = np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1].ravel()
     low, high = behind[:n], ahead[OFFSETS - 1 : OFFSETS - 1 + n]
-    start = np.arange(n)
     # Positions modulo 2 * OFFSETS wrap; compare hashes first, then take the right block's on ties.
-    right = (high >> np.uint64(8)) <= (low >> np.uint64(8))
-    best = np.where(right, high, low)
-    modulo = (np.uint64(0xFF) - (best & np.uint64(0xFF))).astype(np.int64)
-    anchor = start + (modulo - start) % (2 * OFFSETS)
+    best = np.where((high >> np.uint64(8)) <= (low >> np.uint64(8)), high, low)
+    ahead_by = 0xFF - (best & np.uint64(0xFF)).astype(np.int64) - places(n)
+    anchor = np.arange(n) + ahead_by + 2 * OFFSETS * (ahead_by < 0)
     new = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-    return start[new], anchor[new]
+    return new, anchor[new], raw[anchor[new]]
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first string, last string, k-gram hash) of a text; texts pass in pieces."""
+    """(anchor, first string, last string, k-gram hash) of some bytes, which pass in pieces."""
     n = len(data) - LENGTH + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none, none
-    firsts, spots = [], []
+    found = []
     for p in range(0, n, PIECE):
-        a, b = _anchors(data[p : min(n, p + PIECE) + LENGTH - 1])
-        firsts.append(a + p)
-        spots.append(b + p)
-    first, spot = np.concatenate(firsts), np.concatenate(spots)
+        first, spot, gram = _anchors(data[p : min(n, p + PIECE) + LENGTH - 1])
+        found.append((first + p, spot + p, gram))
+    first, spot, gram = (np.concatenate(x) for x in zip(*found))
     new = np.append(True, spot[1:] != spot[:-1])
-    first, spot = first[new], spot[new]
-    last = np.append(first[1:], n) - 1
-    grams = np.empty(len(spot), np.uint64)
-    for i in range(0, len(spot), 20_000):
-        s = spot[i : i + 20_000]
-        part = data[s[0] : s[-1] + GRAM]
-        grams[i : i + 20_000] = mixed(range_hash(prefix_sums(part), s - s[0], s - s[0] + GRAM), 0xA0761D6478BD642F)
-    return spot, first, last, grams.view(np.int64)
+    first, spot, gram = first[new], spot[new], gram[new]
+    return spot, first, np.append(first[1:], n) - 1, mixed(gram, 0xA0761D6478BD642F).view(np.int64)
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts of a batch in a row, and where each one starts; the end is last."""
+    column = column.fill_null("").cast(pa.large_string())
+    _, bounds, data = column.buffers()
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(bounds, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def anchors_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, anchor, first string, last string, k-gram hash), at places in ``data``; strings that leave their text don't count."""
+    spot, first, last, gram = anchors(data)
+    row = np.searchsorted(bounds, spot, "right") - 1
+    first, last = np.maximum(first, bounds[row]), np.minimum(last, bounds[row + 1] - LENGTH)
+    inside = first <= last
+    return row[inside], spot[inside], first[inside], last[inside], gram[inside]
 
 
 def as_bytes(text: str | None) -> np.ndarray:
@@ -131,16 +153,13 @@ def as_bytes(text: str | None) -> np.ndarray:
 def gram_rows(rows: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spots, grams, owner = [], [], []
-            for i, text in enumerate(batch.column(2)):
-                spot, _, _, gram = anchors(as_bytes(text.as_py()))
-                spots.append(spot), grams.append(gram), owner.append(np.full(len(spot), i))
-            if owner:
-                take = pa.array(np.concatenate(owner).astype(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(grams).astype(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(spots).astype(np.int32))],
-                    ["gram", "doc_id", "th", "spot"],
-                )
+            data, bounds = text_bytes(batch.column(2))
+            row, spot, _, _, gram = anchors_of(data, bounds)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gram), batch.column(0).take(take), batch.column(1).take(take), pa.array((spot - bounds[row]).astype(np.int32))],
+                ["gram", "doc_id", "th", "spot"],
+            )
 
     return rows.mapInArrow(task, "gram long, doc_id long, th long, spot int")
 
@@ -153,28 +172,33 @@ def context_rows(rows: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, th, text, spots in zip(*(c.to_pylist() for c in batch.columns)):
-                data = as_bytes(text)
-                spot, first, last, _ = anchors(data)
-                keep = np.isin(spot, spots)
-                spot, first, last = spot[keep], first[keep], last[keep]
-                h1, h2 = np.empty(len(spot), np.uint64), np.empty(len(spot), np.uint64)
-                for i in range(0, len(spot), 20_000):
-                    f, e = first[i : i + 20_000], last[i : i + 20_000] + LENGTH
-                    part = data[f[0] : e[-1]]
-                    left = (spot[i : i + 20_000] - f).astype(np.uint64)  # where the anchor lies belongs to the context
-                    h = range_hash(prefix_sums(part), f - f[0], e - f[0])
-                    h1[i : i + 20_000] = mixed(h + left * np.uint64(PRIME), 0xE7037ED1A0B428DB)
-                    other = range_hash(prefix_sums((part * np.uint8(167)) ^ np.uint8(85)), f - f[0], e - f[0])
-                    h2[i : i + 20_000] = mixed(other ^ (e - f).astype(np.uint64), 0x8EBC6AF09C88C6E3)
-                seed = np.uint64(((doc_id or 0) * PRIME + (th or 0)) & MASK)
-                r = mixed(seed ^ (spot.astype(np.uint64) * np.uint64(PRIME)), 0x589965CC75374CC3)
-                n = len(spot)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(r.view(np.int64)), pa.array([doc_id] * n, pa.int64()), pa.array([th] * n, pa.int64()),
-                     pa.array(spot.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                    [c.split()[0] for c in CONTEXTS.split(", ")],
-                )
+            data, bounds = text_bytes(batch.column(2))
+            spots = batch.column(3)
+            wanted = spots.flatten().to_numpy() + np.repeat(bounds[:-1], np.diff(spots.offsets.to_numpy()))
+            row, spot, first, last, _ = anchors_of(data, bounds)
+            keep = np.isin(spot, wanted)
+            row, spot, first, last = row[keep], spot[keep], first[keep], last[keep]
+            stop = last + LENGTH
+            h1, h2 = np.empty(len(spot), np.uint64), np.empty(len(spot), np.uint64)
+            cuts = np.searchsorted(first, np.arange(0, len(data) + PIECE, PIECE))
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if i == j:
+                    continue
+                f, e = first[i:j], stop[i:j]
+                part = data[f[0] : e.max()]
+                left = (spot[i:j] - f).astype(np.uint64)  # where the anchor lies belongs to the context
+                h1[i:j] = mixed(range_hash(prefix_sums(part), f - f[0], e - f[0]) + left * np.uint64(PRIME), 0xE7037ED1A0B428DB)
+                other = range_hash(prefix_sums((part * np.uint8(167)) ^ np.uint8(85)), f - f[0], e - f[0])
+                h2[i:j] = mixed(other ^ (e - f).astype(np.uint64), 0x8EBC6AF09C88C6E3)
+            seeds = np.array([((d or 0) * PRIME + t) & MASK for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.uint64)
+            start = bounds[row]
+            r = mixed(seeds[row] ^ ((spot - start).astype(np.uint64) * np.uint64(PRIME)), 0x589965CC75374CC3)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(r.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take),
+                 *(pa.array((x - start).astype(np.int32)) for x in (spot, first, last))],
+                [c.split()[0] for c in CONTEXTS.split(", ")],
+            )
 
     return rows.mapInArrow(task, CONTEXTS)
 
@@ -324,7 +348,8 @@ def repeated_intervals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     strings repeat) or offsets (those that do).
     """
     grams = gram_rows(docs)
-    twice = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("gram").alias("g"))
+    # Stored, so that a frequent k-gram's rows can be split in the join.
+    twice = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("gram").alias("g")), "grams")
     spots = grams.join(twice, grams["gram"] == twice["g"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set("spot").alias("spots"))
     spots = materialize(spots, "anchors")
     texts = materialize(docs.join(spots, same_row(docs, spots)).select(docs["doc_id"], docs["th"], docs["text"], "spots"), "candidates")
@@ -350,18 +375,27 @@ def repeated_intervals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, found
 
 
-def removed_runs(length: int, marks: list[dict]) -> list[tuple[int, int]]:
-    """Maximal runs covered by the repeated strings."""
-    ends = np.zeros(length + 1, np.int32)
-    for m in marks:
-        starts = np.arange(m["first"], m["last"] + 1) if m["all"] else m["spot"] - np.array(m["offsets"])
-        np.add.at(ends, starts, 1)
-        np.add.at(ends, starts + LENGTH, -1)
-    covered = np.cumsum(ends)[:length] > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
+def removed_runs(length: int, starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs covered by the intervals of repeated strings."""
+    depth = np.cumsum(np.bincount(starts, minlength=length + 1) - np.bincount(stops, minlength=length + 1))
+    edge = np.flatnonzero(np.diff(depth > 0, prepend=False))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def intervals(marks: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop) of a batch's marks, in the order of rows."""
+    spot, first, last, whole, offsets = marks.flatten().flatten()
+    row = np.repeat(np.arange(len(marks)), np.diff(marks.offsets.to_numpy()))
+    whole = whole.to_numpy(zero_copy_only=False).astype(bool)
+    sizes = pc.fill_null(pc.list_value_length(offsets), 0).to_numpy()
+    single = np.repeat(spot.to_numpy(), sizes).astype(np.int64) - offsets.flatten().to_numpy()
+    start = np.concatenate([first.to_numpy()[whole].astype(np.int64), single])
+    stop = np.concatenate([last.to_numpy()[whole].astype(np.int64), single]) + LENGTH
+    row = np.concatenate([row[whole], np.repeat(row, sizes)])
+    by = np.argsort(row, kind="stable")
+    return row[by], start[by], stop[by]
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th, n_bytes, n_removed, n_spans, spans, kept, kept_sha256.
 
@@ -378,9 +412,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             removed, spans, kept, digests = [], [], [], []
-            for text, marks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            row, first, stop = intervals(batch.column(3))
+            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            for text, i, j in zip(batch.column(2).to_pylist(), cuts[:-1], cuts[1:]):
                 data = (text or "").encode()
-                runs = removed_runs(len(data), marks)
+                runs = removed_runs(len(data), first[i:j], stop[i:j])
                 removed.append(sum(e - s for s, e in runs))
                 spans.append([{"start": s, "end": e} for s, e in runs])
                 starts, stops = [0, *(e for _, e in runs)], [*(s for s, _ in runs), len(data)]
