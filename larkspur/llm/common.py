@@ -53,12 +53,14 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete tables written by materialize(); call once their readers are done."""
+def release_scratch(spark: SparkSession, name: str | None = None) -> None:
+    """Delete tables written by materialize(), or the last one called ``name``; call once their readers are done."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+    named = [p for p in _scratch if name is None or p.rsplit("/", 1)[-1].startswith(f"{name}-")]
+    for p in named if name is None else named[-1:]:
+        _scratch.remove(p)
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, same_row, text_key
+from .common import keyed, materialize, release_scratch, same_row, text_key
 
 LENGTH, GRAM = 200, 80
 OFFSETS = LENGTH - GRAM + 1  # an anchor starts 0 .. OFFSETS - 1 bytes into its string
@@ -164,11 +164,11 @@ def gram_rows(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(task, "gram long, doc_id long, th long, spot int")
 
 
-CONTEXTS = "c1 long, c2 long, r long, doc_id long, th long, spot int, first int, last int"
+CONTEXTS = "c1 long, c2 long, doc_id long, th long, spot int, low int, high int"
 
 
 def context_rows(rows: DataFrame) -> DataFrame:
-    """The contexts of candidate anchors (column spots) as hashes c1, c2; r tells occurrences apart."""
+    """The contexts of candidate anchors (column spots) as hashes c1, c2, and the anchor's least and greatest offset in their strings."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,13 +190,10 @@ def context_rows(rows: DataFrame) -> DataFrame:
                 h1[i:j] = mixed(range_hash(prefix_sums(part), f - f[0], e - f[0]) + left * np.uint64(PRIME), 0xE7037ED1A0B428DB)
                 other = range_hash(prefix_sums((part * np.uint8(167)) ^ np.uint8(85)), f - f[0], e - f[0])
                 h2[i:j] = mixed(other ^ (e - f).astype(np.uint64), 0x8EBC6AF09C88C6E3)
-            seeds = np.array([((d or 0) * PRIME + t) & MASK for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.uint64)
-            start = bounds[row]
-            r = mixed(seeds[row] ^ ((spot - start).astype(np.uint64) * np.uint64(PRIME)), 0x589965CC75374CC3)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(r.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take),
-                 *(pa.array((x - start).astype(np.int32)) for x in (spot, first, last))],
+                [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take),
+                 *(pa.array(x.astype(np.int32)) for x in (spot - bounds[row], spot - last, spot - first))],
                 [c.split()[0] for c in CONTEXTS.split(", ")],
             )
 
@@ -352,9 +349,15 @@ def repeated_intervals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     twice = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("gram").alias("g")), "grams")
     spots = grams.join(twice, grams["gram"] == twice["g"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set("spot").alias("spots"))
     spots = materialize(spots, "anchors")
+    release_scratch(docs.sparkSession, "grams")
     texts = materialize(docs.join(spots, same_row(docs, spots)).select(docs["doc_id"], docs["th"], docs["text"], "spots"), "candidates")
-    contexts = materialize(context_rows(texts.select("doc_id", "th", "text", "spots")), "contexts")
-    classes = contexts.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("r"))
+    release_scratch(docs.sparkSession, "anchors")
+    stored = materialize(context_rows(texts.select("doc_id", "th", "text", "spots")), "contexts")
+    # r tells the occurrences of a context apart.
+    contexts = stored.select(
+        "c1", "c2", F.xxhash64("doc_id", "th", "spot").alias("r"), "doc_id", "th", "spot", (F.col("spot") - F.col("high")).alias("first"), (F.col("spot") - F.col("low")).alias("last")
+    )
+    classes = materialize(contexts.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("r")), "classes")
     picked = (
         contexts.join(classes, ["c1", "c2", "r"])
         .groupBy("doc_id", "th").agg(F.collect_set(F.struct("c1", "c2", "n", "spot", "first", "last")).alias("picks"))
@@ -363,6 +366,7 @@ def repeated_intervals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = materialize(suffix_rows(chosen).dropDuplicates(["c1", "c2"]), "suffixes")
     dealt, splitters = deal_suffixes(distinct, distinct.count())
     marks = materialize(dealt.groupBy("bucket").applyInArrow(find_repeats(splitters), "c1 long, c2 long, d int, key binary"), "marks")
+    release_scratch(docs.sparkSession, "suffixes")
     across = marks.where("key IS NOT NULL")
     shared = across.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"))
     offsets = marks.where("key IS NULL").select("c1", "c2", "d").union(across.join(shared, across["key"] == shared["k"], "left_semi").select("c1", "c2", "d"))
