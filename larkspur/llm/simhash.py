@@ -4,13 +4,18 @@ Fingerprints: word shingles hashed with XXH64, a bit set if it is in over half
 of the hashes. Distinct fingerprints are compared, in one of two ways:
 
 * ``near_fingerprints``: 64 bits, linked within a few differing bits. Exact.
-* ``near_duplicates``: a similarity of shingle sets, 0.8 by default. Copies that
-  alike differ in about a sixth of the bits, and within such a radius no
-  distance in 64 bits prunes anything. So the fingerprint has 512 bits (of eight
-  mixes of each hash), its 18 blocks of 28 bits are searched within 2 bits, and a
-  pair links if all 512 bits agree well enough for that similarity. For unrelated
-  texts that is out of reach; a pair of similarity 0.8 is found with a
-  probability of about 0.95 by itself, a closer one more surely.
+* ``near_duplicates``: a Jaccard similarity of sets of distinct shingles, 0.8 by
+  default. Copies that alike differ in about a sixth of the bits, and within such
+  a radius no distance in 64 bits prunes anything. So the fingerprint has 512 bits
+  (of eight mixes of each hash), its 18 blocks of 28 bits are searched within 3
+  bits, and a pair is a candidate if all 512 bits are within three standard
+  deviations of that similarity. Candidates only form groups: within a group all
+  sets are compared exactly, by a prefix filter, and only those similar enough
+  link. Sets of at most SHORT shingles, whose bits are no measure, also meet by the
+  prefix filter alone. So nothing below the threshold links, and of binomial bits
+  a pair of exactly 0.8 is missed with a probability of about 0.002 by itself.
+  Groups of over GROUP sets are compared with one of theirs first; the triangle
+  inequality of the Jaccard distance leaves few to compare in pieces.
 
 The search: a tree over a bounded sample (SAMPLE rows) splits the Hamming space
 into shards. At a node, those within the radius of the vantage point go left,
@@ -30,19 +35,23 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keyed, materialize
+from .common import components, keyed, materialize, text_key
 
 SAMPLE = 8192
 LEAF = 256
 PER_SHARD = 200_000
-WORDS, BLOCK_BITS, BLOCK_RADIUS = 8, 28, 2
+WORDS, BLOCK_BITS, BLOCK_RADIUS = 8, 28, 3
+#: Sets up to this size also meet without fingerprints.
+SHORT = 20
+#: Most sets of a group compared in one task; larger groups are cut in pieces.
+GROUP = 2000
 LANES = np.uint64(0x0101010101010101)
 MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 | 1 for k in range(1, WORDS)], np.uint64)
 
@@ -77,8 +86,12 @@ def _majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprint_texts(texts: list[str | None], shingle: int, words: int) -> np.ndarray:
+    return fingerprint_sets((shingle_hashes(t, shingle) for t in texts), words, len(texts))
+
+
+def fingerprint_sets(hashes: Iterable[np.ndarray], words: int, n: int | None = None) -> np.ndarray:
     """Fingerprints as rows of ``words`` 64-bit integers."""
-    out = np.zeros((len(texts), words), np.uint64)
+    out = np.zeros((len(hashes) if n is None else n, words), np.uint64)
     held: list[np.ndarray] = []
     rows: list[int] = []
 
@@ -93,8 +106,7 @@ def fingerprint_texts(texts: list[str | None], shingle: int, words: int) -> np.n
             held.clear(), rows.clear()
 
     total = 0
-    for i, text in enumerate(texts):
-        h = shingle_hashes(text, shingle)
+    for i, h in enumerate(hashes):
         if len(h):
             held.append(h)
             rows.append(i)
@@ -280,28 +292,184 @@ def linked(classes: DataFrame, n: int, blocks: int, width: int, radius: int, mos
     )
 
 
-def _components(docs: DataFrame, shingle: int, words: int, blocks: int, width: int, radius: int, most: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, th, fp, component_id; nodes are 64-bit hashes of fingerprints (one-to-one for 64 bits)."""
-    rows = materialize(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
-    node = F.conv(F.hex("fp"), 16, -10).cast("long") if words == 1 else F.xxhash64("fp")
+def near_fingerprints(docs: DataFrame, shingle: int = 5, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: 64-bit fingerprints linked within ``bits``."""
+    rows = materialize(fingerprints(docs, shingle, 1, id_col, text_col), "fingerprints")
+    node = F.conv(F.hex("fp"), 16, -10).cast("long")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", node), "classes")
-    found = components(linked(classes, classes.count(), blocks, width, radius, most))
+    found = components(linked(classes, classes.count(), 1, 64, bits, bits))
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id")
-    return rows.join(named, "fp")
+    rows = rows.join(named.join(least, "component").select("fp", "component_id"), "fp")
+    return rows.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def near_fingerprints(docs: DataFrame, shingle: int = 5, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: 64-bit fingerprints linked within ``bits``."""
-    rows = _components(docs, shingle, 1, 1, 64, bits, bits, id_col, text_col)
-    return rows.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def prefix_sizes(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Two sets in one order that are similar enough share an item among so many first ones."""
+    return sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+
+
+def alike(common: np.ndarray | int, sizes: np.ndarray | int, similarity: float) -> np.ndarray | bool:
+    """Whether sets of ``sizes`` items together, ``common`` of them shared, are similar enough."""
+    return common * (1 + similarity) >= similarity * sizes - 1e-9
+
+
+def exact_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Spanning edges of the graph of all sets with a Jaccard similarity of at least ``similarity``."""
+    sizes = np.array([len(x) for x in sets])
+    _, items, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))  # rare items first
+    ranked = [np.sort(x) for x in np.split(rank[items], np.cumsum(sizes)[:-1])]
+    take = prefix_sizes(sizes, similarity)
+    owner = np.repeat(np.arange(len(sets)), np.minimum(take, sizes))
+    heads = np.concatenate([r[:n] for r, n in zip(ranked, take)])
+    order = np.lexsort((owner, heads))
+    heads, owner = heads[order], owner[order]
+    starts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]]) if len(heads) else np.zeros(0, int)
+    root, here, failed, edges = np.arange(len(sets)), np.zeros(len(counts), bool), set(), []
+    for lo, hi in zip(starts, np.r_[starts[1:], len(heads)]):
+        group = owner[lo:hi]
+        for at in range(len(group) - 1):
+            i = int(group[at])
+            others = group[at + 1 :]
+            n = sizes[others]
+            others = others[(root[others] != root[i]) & (np.minimum(n, sizes[i]) >= similarity * np.maximum(n, sizes[i]) - 1e-9)]
+            if not len(others):
+                continue
+            here[ranked[i]] = True
+            for j in others.tolist():
+                if root[j] == root[i] or (i, j) in failed:
+                    continue
+                if alike(int(here[ranked[j]].sum()), int(sizes[i] + sizes[j]), similarity):
+                    edges.append((i, j))
+                    root[root == root[j]] = root[i]
+                else:
+                    failed.add((i, j))
+            here[ranked[i]] = False
+    return edges
+
+
+def exact_links(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): spanning links of the similar sets in each group of ``members`` (g, node, items; stored)."""
+    reach = 1 - similarity
+
+    def compare(table: pa.Table) -> pa.Table:
+        g, node = table["g"].to_numpy(), table["node"].to_numpy()
+        sets = [np.frombuffer(x, "<u8") for x in table["items"].to_pylist()]
+        a, b = [], []
+        order = np.lexsort((node, g))
+        for rows in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
+            rows = rows[np.r_[True, np.diff(node[rows]) != 0]]
+            for i, j in exact_forest([sets[r] for r in rows], similarity):
+                a.append(node[rows[i]])
+                b.append(node[rows[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                d.append(1 - common / max(1, len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(d, pa.float64())], ["g", "node", "items", "pivot", "d"])
+
+    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    sizes = materialize(sizes, "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    small = members.join(sizes.where(F.col("n") <= GROUP).select("g"), "g")
+    bucket = F.pmod(F.xxhash64("g"), F.lit(max(64, total // GROUP)))
+    links = small.select("g", "node", "items", bucket.alias("bucket")).groupBy("bucket").applyInArrow(compare, "a long, b long")
+    large = sizes.where(F.col("n") > GROUP)
+    if large.isEmpty():
+        return links
+    # There are at most rows / GROUP large groups, so their pivots are broadcast.
+    pivots = members.join(F.broadcast(large), (members["g"] == large["g"]) & (members["node"] == large["pivot"]), "left_semi").dropDuplicates(["g"])
+    pivots = pivots.select(F.col("g").alias("pg"), F.col("node").alias("pivot"), F.col("items").alias("p_items"))
+    rows = members.join(F.broadcast(pivots), F.col("g") == F.col("pg")).select("g", "node", "items", "pivot", "p_items")
+    rows = materialize(rows.mapInArrow(measure, "g long, node long, items binary, pivot long, d double"), "measured")
+    near = F.col("d") <= reach + 1e-9
+    star = rows.where(near & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    # A linked set can only meet one that is at most ``reach`` farther from the pivot.
+    nearest = rows.where(~near).groupBy("g").agg(F.min("d").alias("nearest"), F.count(F.lit(1)).alias("far"))
+    left = rows.join(F.broadcast(nearest), "g").where(~near | (F.col("d") >= F.col("nearest") - reach - 1e-9))
+    left = materialize(left.select("g", "node", "items"), "left")
+    pieces = left.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("pieces"))
+    piece = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
+    cells = left.join(F.broadcast(pieces), "g").withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    cells = cells.select("g", "node", "items", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"))
+    return links.union(star).union(cells.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
+def set_prints(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, th, node (hash of the set of shingles), fp (of the set), items (the set, of short ones only)."""
+    import xxhash
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
+            fps = fingerprint_sets(sets, WORDS).astype(">u8")
+            node = np.array([xxhash.xxh3_64_intdigest(x.astype("<u8").tobytes()) for x in sets], np.uint64).view(np.int64)
+            items = pa.array([x.astype("<u8").tobytes() if 0 < len(x) <= SHORT else None for x in sets], pa.binary())
+            columns = [batch.column(0), batch.column(1), pa.array(node), pa.array([r.tobytes() for r in fps], pa.binary()), items]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "node", "fp", "items"])
+
+    rows = keyed(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInArrow(task, "doc_id long, th long, node long, fp binary, items binary")
+
+
+def short_members(classes: DataFrame, similarity: float) -> DataFrame:
+    """(g, node, items): short sets under the items of their prefixes."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, "<u8") for x in batch.column(1).to_pylist()]
+            take = prefix_sizes(np.array([len(x) for x in sets], np.int64), similarity)
+            at = pa.array(np.repeat(np.arange(len(sets)), take))
+            g = np.concatenate([x[:n] for x, n in zip(sets, take)] or [np.zeros(0, "<u8")]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(g), batch.column(0).take(at), batch.column(1).take(at)], ["g", "node", "items"])
+
+    return classes.where("items IS NOT NULL").select("node", "items").mapInArrow(task, "g long, node long, items binary")
+
+
+def candidate_members(docs: DataFrame, classes: DataFrame, groups: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(g, node, items): the sets of all nodes in ``groups`` (node, component)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [shingle_set(t, shingle).astype("<u8").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, pa.binary())], ["g", "node", "items"])
+
+    named = classes.join(groups, "node").select(F.col("component").alias("g"), "node", F.col("pick.doc_id").alias("p_id"), F.col("pick.th").alias("p_th"))
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text_key(docs[text_col]).alias("th"), docs[text_col].alias("text"))
+    rows = texts.join(named, texts["doc_id"].eqNullSafe(named["p_id"]) & (texts["th"] == named["p_th"]))
+    return rows.select("g", "node", "text").dropDuplicates(["node"]).mapInArrow(task, "g long, node long, items binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th, component_id: texts linked by similar sets of shingles (see above)."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi  # of bits that differ
     bits = 64 * WORDS
-    most = int(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
-    rows = _components(docs, shingle, WORDS, bits // BLOCK_BITS, BLOCK_BITS, BLOCK_RADIUS, most, id_col, text_col)
-    return rows.select("doc_id", "th", "component_id")
+    most = math.ceil(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
+    rows = materialize(set_prints(docs, shingle, similarity, id_col, text_col), "fingerprints")
+    classes = rows.groupBy("node").agg(
+        F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "th")).alias("pick"), F.first("fp").alias("fp"), F.first("items").alias("items")
+    )
+    classes = materialize(classes, "classes")
+    # Equal fingerprints of different sets are candidates by themselves.
+    prints = materialize(classes.groupBy("fp").agg(F.min("node").alias("lead")), "prints")
+    same = classes.join(prints, "fp").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    found = linked(prints.select("fp", F.col("lead").alias("node")), prints.count(), bits // BLOCK_BITS, BLOCK_BITS, BLOCK_RADIUS, most)
+    groups = components(found.union(same))
+    members = materialize(candidate_members(docs, classes, groups, shingle, id_col, text_col), "members")
+    short = materialize(short_members(classes, similarity), "short")
+    exact = components(exact_links(members, similarity).union(exact_links(short, similarity)))
+    named = classes.select("node", "first").join(exact, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = named.join(least, "component").select("node", "component_id")
+    return rows.select("doc_id", "th", "node").join(named, "node").select("doc_id", "th", "component_id")

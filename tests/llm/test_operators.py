@@ -71,6 +71,48 @@ def test_simhash(docs, none):
     assert near_fingerprints(none, 3, 2).count() == 0
 
 
+def planted_pairs():
+    """Pairs of texts with similarities from below 0.7 to 0.9 and short ones, and their Jaccard similarity."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    pairs = [("a b c d e f g h", "a b c d e f g h i")]
+    for n in (8, 12, 24, 60, 200, 500):
+        for k in range(24):
+            w = [word() for _ in range(n)]
+            v = list(w)
+            for at in rng.sample(range(n), max(1, k * n // 600)):
+                v[at] = word()
+            pairs.append((" ".join(w), " ".join(v if k % 2 else v + [word() for _ in range(k % 5)])))
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    return [(a, b, len(grams(a) & grams(b)) / len(grams(a) | grams(b))) for a, b in pairs]
+
+
+@pytest.mark.parametrize("group", [2000, 1])
+def test_near_duplicates_are_exact(spark, monkeypatch, group):
+    """Planted pairs link if and only if their sets of shingles are similar enough."""
+    from larkspur.llm import simhash
+
+    monkeypatch.setattr(simhash, "GROUP", group)
+    pairs = planted_pairs()
+    assert sum(0.7 < s < 0.8 for *_, s in pairs) > 8 and sum(0.8 <= s < 0.9 for *_, s in pairs) > 8
+    texts = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id long, text string")
+    got = dict(rows(simhash.near_duplicates(texts), "doc_id", "component_id"))
+    assert [(i, s) for i, (*_, s) in enumerate(pairs) if (got[2 * i] == got[2 * i + 1]) != (s >= 0.8)] == []
+
+
+def test_exact_forest():
+    import numpy as np
+
+    from larkspur.llm.simhash import exact_forest
+
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 2**63, int(n)).astype("<u8")) for n in rng.integers(1, 60, 30)]
+    sets = [np.unique(np.concatenate([x[rng.random(len(x)) < keep], x[:1]])) for x in base for keep in (1, 0.95, 0.9, 0.85, 0.8)]
+    both = lambda a, b: len(np.intersect1d(a, b))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * both(sets[i], sets[j]) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    assert brute.groups(len(sets), exact_forest(sets, 0.8)) == brute.groups(len(sets), links)
+
+
 def test_vantage_points_prune_exactly():
     import numpy as np
 
