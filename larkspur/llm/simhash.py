@@ -203,8 +203,60 @@ def route(keys: np.ndarray, tree: list[tuple[int, int, int, int]], bits: int) ->
     return out
 
 
-def near_pairs(keys: np.ndarray, home: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows within ``bits``, one at least at home, from a local vantage-point tree."""
+def cells(rows: np.ndarray, home: np.ndarray, salt: np.ndarray, pieces: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(cell, home, rows): home pieces times pieces of all rows, so that any pair with one row at home shares a cell."""
+    if pieces == 1:
+        yield 0, home, rows
+        return
+    mixed = salt * np.uint64(0x9E3779B97F4A7C15)
+    piece = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(pieces)).astype(np.int64)
+    for i in range(pieces):
+        for j in range(pieces):
+            own = home & (piece == i)
+            # Pairs at home on both sides meet once, where the home piece is the lower.
+            taken = own | ((piece == j) & (~home | (i < j)))
+            if taken.any():
+                yield i * pieces + j, own[taken], rows[taken]
+
+
+def dense_pairs(fp: np.ndarray, rows: np.ndarray, most: int, root: np.ndarray, rest: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within ``most`` on all bits that connect all such pairs of the rows taken out; ``rest`` receives the others.
+
+    A row and all rows near it are taken out at once. By the triangle inequality
+    those can only meet others at most ``most`` farther from the row than they
+    are, so near copies cost one pass and not all their pairs.
+    """
+    misses = 0
+    while len(rows) > LEAF and misses < 16:
+        d = np.bitwise_count(fp[rows] ^ fp[rows[0]]).sum(1, dtype=np.int32)
+        near = d <= most
+        members, others, dm, do = rows[near], rows[~near], d[near], d[~near]
+        yield np.full(len(members) - 1, rows[0]), members[1:]
+        if len(others):
+            wanted = dm + most >= do.min()
+            members, dm = members[wanted], dm[wanted]
+            close = do <= most + (int(dm.max()) if len(dm) else -1)
+            reached = others[close]
+            step = max(1, 200_000 // max(1, len(reached)))
+            for i in range(0, len(members) if len(reached) else 0, step):
+                part = members[i : i + step]
+                open_ = reached[root[reached] != root[part[0]]]  # members are connected by now
+                a, b = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[open_][None]).sum(2, dtype=np.int32) <= most)
+                yield part[a], open_[b]
+        misses = 0 if near.sum() * 50 >= len(rows) else misses + 1
+        rows = others
+    rest.append(rows)
+
+
+def near_pairs(
+    keys: np.ndarray, home: np.ndarray, bits: int, fp: np.ndarray | None = None, most: int = 0, root: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within ``bits``, one at least at home, from a local vantage-point tree.
+
+    With ``fp`` and ``root`` (of the forest that takes the pairs), pairs of
+    crowded leaves are within ``most`` instead, and those that add no connection
+    may be missing.
+    """
     stack = [(np.flatnonzero(home), np.flatnonzero(~home))]
     while stack:
         inner, outer = stack.pop()
@@ -219,6 +271,11 @@ def near_pairs(keys: np.ndarray, home: np.ndarray, bits: int) -> Iterator[tuple[
                 stack.append((right, outer[o > r - bits]))
                 continue
         everything = np.concatenate([inner, outer])
+        if fp is not None and len(everything) > 4 * LEAF:
+            rest: list[np.ndarray] = []
+            yield from dense_pairs(fp, everything, most, root, rest)
+            everything = rest[0]
+            inner = everything[home[everything]] if root is not None else inner
         step = max(1, 2_000_000 // max(1, len(everything)))
         for i in range(0, len(inner), step):
             rows = inner[i : i + step]
@@ -227,9 +284,9 @@ def near_pairs(keys: np.ndarray, home: np.ndarray, bits: int) -> Iterator[tuple[
             yield a[a != b], b[a != b]
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Spanning edges of the graph on 0..n-1."""
-    root = np.arange(n)
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], root: np.ndarray | None = None) -> np.ndarray:
+    """Spanning edges of the graph on 0..n-1; ``root``, 0..n-1 at first, follows the connections."""
+    root = np.arange(n) if root is None else root
     edges = [np.zeros((0, 2), np.int64)]
     for a, b in pairs:
         while True:  # known connections drop out at once
@@ -243,7 +300,7 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
             root[hi[first]] = lo[first]
             edges.append(np.stack([a[first], b[first]], 1))
             while (root[root] != root).any():
-                root = root[root]
+                root[:] = root[root]
     return np.concatenate(edges)
 
 
@@ -258,6 +315,11 @@ def linked(classes: DataFrame, n: int, blocks: int, width: int, radius: int, mos
     sample = as_words(pa.array([bytes(r[0]) for r in classes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], pa.binary()))
     shards = max(1, -(-n // PER_SHARD), min(16, n // 2000) if blocks == 1 else 1)
     trees = [vantage_tree(block(sample, k, width), max(16, len(sample) // shards)) for k in range(blocks)]
+    # Shards that no tree can split, by the rows to expect from the sample: each is cut in pieces that meet in pairs.
+    pieces: dict[tuple[int, int], int] = {}
+    for k in range(blocks):
+        for rows, shard, home in route(block(sample, k, width), trees[k], radius):
+            pieces[k, shard] = max(1, -(-int(home.sum()) * n // (len(sample) * 2 * PER_SHARD)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,29 +328,31 @@ def linked(classes: DataFrame, n: int, blocks: int, width: int, radius: int, mos
             fp = as_words(batch.column(0))
             for k in range(blocks):
                 for rows, shard, home in route(block(fp, k, width), trees[k], radius):
-                    taken = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(np.full(len(rows), k, np.int32)), pa.array(np.full(len(rows), shard, np.int32)), pa.array(home)],
-                        ["fp", "node", "block", "shard", "home"],
-                    )
+                    for cell, own, at in cells(rows, home, fp[rows, 0], pieces.get((k, shard), 1)):
+                        taken = pa.array(at)
+                        parts = [pa.array(np.full(len(at), x, np.int32)) for x in (k, shard, cell)]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), *parts, pa.array(own)], ["fp", "node", "block", "shard", "cell", "home"])
 
     def within(table: pa.Table) -> pa.Table:
         fp, node = as_words(table["fp"]), table["node"].to_numpy()
         keys = block(fp, int(table["block"][0].as_py()), width)
 
+        root = np.arange(len(fp))
+
         def close() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for a, b in near_pairs(keys, table["home"].to_numpy(), radius):
+            crowded = (fp, most, root) if blocks > 1 else ()
+            for a, b in near_pairs(keys, table["home"].to_numpy(), radius, *crowded):
                 for i in range(0, len(a), 500_000):
                     x, y = a[i : i + 500_000], b[i : i + 500_000]
                     ok = np.bitwise_count(fp[x] ^ fp[y]).sum(1, dtype=np.int32) <= most
                     yield x[ok], y[ok]
 
-        edges = forest(len(fp), close())
+        edges = forest(len(fp), close(), root)
         return pa.table({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
 
     return (
-        classes.select("fp", "node").mapInArrow(deal, "fp binary, node long, block int, shard int, home boolean")
-        .groupBy("block", "shard").applyInArrow(within, "a long, b long")
+        classes.select("fp", "node").mapInArrow(deal, "fp binary, node long, block int, shard int, cell int, home boolean")
+        .groupBy("block", "shard", "cell").applyInArrow(within, "a long, b long")
     )
 
 

@@ -113,6 +113,73 @@ def test_exact_forest():
     assert brute.groups(len(sets), exact_forest(sets, 0.8)) == brute.groups(len(sets), links)
 
 
+def crowd(n):
+    """Fingerprints: a crowd of near copies, and others that share their first block."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 8, dtype=np.uint64)
+    fp = np.tile(base, (n, 1))
+    for _ in range(45):
+        fp[np.arange(n), rng.integers(1, 8, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    other = rng.integers(0, 2**63, (n // 10, 8), dtype=np.uint64)
+    other[: n // 20, 1:] ^= (other[:n // 20, 1:] ^ base[1:]) & rng.integers(0, 2**63, (n // 20, 7), dtype=np.uint64)  # half way to the crowd
+    other[:, 0] = base[0]
+    return np.concatenate([fp, other])
+
+
+def test_crowds_take_few_pairs():
+    """Near copies with one block key are not compared in all pairs, and every connection is found."""
+    import numpy as np
+
+    from larkspur.llm.simhash import forest, near_pairs
+
+    for n, exact in ((1500, True), (20000, False)):
+        fp, seen = crowd(n), 0
+        root = np.arange(len(fp))
+
+        def pairs():
+            nonlocal seen
+            for a, b in near_pairs(fp[:, 0] & np.uint64(2**28 - 1), np.ones(len(fp), bool), 3, fp, 102, root):
+                seen += len(a)
+                ok = np.bitwise_count(fp[a] ^ fp[b]).sum(1) <= 102
+                yield a[ok], b[ok]
+
+        edges = forest(len(fp), pairs(), root)
+        if exact:
+            d = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2)
+            want = np.argwhere((d <= 102) & (np.arange(len(fp))[:, None] < np.arange(len(fp)))).tolist()
+            assert brute.groups(len(fp), edges.tolist()) == brute.groups(len(fp), want)
+        assert seen < 1000 * len(fp)
+
+
+def test_cells_meet_all_pairs():
+    import numpy as np
+
+    from larkspur.llm.simhash import cells
+
+    rng = np.random.default_rng(2)
+    home, rows_, met = rng.random(60) < 0.6, np.arange(60), set()
+    for _, own, at in cells(rows_, home, rng.integers(0, 2**63, 60, dtype=np.uint64), 4):
+        met |= {(int(a), int(b)) for a, o in zip(at, own) if o for b in at} | {(int(b), int(a)) for a, o in zip(at, own) if o for b in at}
+    assert met == {(a, b) for a in range(60) for b in range(60) if home[a] or home[b]}
+
+
+def test_pieces_of_shards(spark, monkeypatch):
+    """Shards that no tree can split are cut in pieces."""
+    import numpy as np
+
+    from larkspur.llm.common import components
+    from larkspur.llm.simhash import linked
+    from larkspur.llm import simhash
+
+    monkeypatch.setattr(simhash, "PER_SHARD", 100)
+    fp = crowd(600)[:630]
+    data = spark.createDataFrame([(bytearray(r.astype(">u8").tobytes()), i) for i, r in enumerate(fp)], "fp binary, node long")
+    got = dict(rows(components(linked(data, len(fp), 18, 28, 3, 102)), "node", "component"))
+    assert {got[i] for i in range(600)} == {0}
+
+
 def test_vantage_points_prune_exactly():
     import numpy as np
 
