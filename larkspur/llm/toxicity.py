@@ -43,7 +43,11 @@ NOTHING = -3.0
 #: A word: letters, with single marks inside that do not separate words.
 WORD = re.compile(r"[^\W\d_](?:[^\w\s]?[^\W\d_])*")
 LETTERS = re.compile(r"[^\W\d_]+")
+#: From the first to the last letter of a token.
+CORE = re.compile(r"[^\W\d_].*[^\W\d_]", re.S)
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?!\S)")
+#: Characters besides letters that training inserts in words.
+INSERTED = "0123456789_.-*'"
 OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 
 
@@ -54,8 +58,16 @@ def tokens(text: str | None) -> set[str]:
 
 
 def parts(token: str) -> list[str]:
-    """The words of a token: letters, with and without the marks among them; long ones in overlapping parts."""
-    found = {token} if token.isalpha() else {"".join(LETTERS.findall(w)) for w in WORD.findall(token)} | set(LETTERS.findall(token))
+    """The words of a token: letters, with and without what is among them; long ones in overlapping parts.
+
+    Besides its words, the letters joined over all digits, underscores and marks
+    are one, and so is the token from its first to its last letter as it stands.
+    """
+    if token.isalpha():
+        found = {token}
+    else:
+        runs = LETTERS.findall(token)
+        found = {"".join(LETTERS.findall(w)) for w in WORD.findall(token)} | {*runs, "".join(runs), *CORE.findall(token)}
     for w in [w for w in found if len(w) > LONGEST]:
         found.discard(w)
         found.update(w[i : i + LONGEST] for i in range(0, len(w), LONGEST // 2))
@@ -114,10 +126,11 @@ def typical(ws: list[str], odds: np.ndarray) -> np.ndarray:
     return np.where(n > 2, np.bincount(at, odds[slots], len(ws)) / np.maximum(n, 1), -1.0)
 
 
-def noisy(word: str, rng: np.random.Generator) -> str:
-    """The word with one inserted character."""
+def noisy(word: str, rng: np.random.Generator, characters: str = "abcdefghijklmnopqrstuvwxyz", most: int = 1) -> str:
+    """The word with one inserted character, or up to ``most`` of them in one place."""
     i = int(rng.integers(1, len(word)))
-    return word[:i] + "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))] + word[i:]
+    c = characters[int(rng.integers(len(characters)))]
+    return word[:i] + c * int(rng.integers(1, most + 1)) + word[i:]
 
 
 @dataclass
@@ -208,7 +221,8 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
     model = Model()
     for _ in range(ROUNDS):
         positives = [w for b in witness for w in b]
-        positives += [noisy(w, rng) for w in positives if len(w) > 4 and rng.random() < 0.5]
+        plain = [w for w in positives if len(w) > 4]
+        positives += [noisy(w, rng) for w in plain if rng.random() < 0.5] + [noisy(w, rng, INSERTED, 2) for w in plain if rng.random() < 0.25]
         x1, xh = embed(positives), embed(hard)
         x = np.concatenate([x1, x0, xh])
         labels = np.concatenate([np.ones(len(x1)), -np.ones(len(x0) + len(xh))])

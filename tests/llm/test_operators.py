@@ -297,6 +297,21 @@ def test_toxicity(spark, none):
     assert toxicity(none, labels).count() == 0
 
 
+def test_toxicity_of_inserted_characters(spark):
+    """Digits, underscores and several marks inside an insult, or between all its letters, do not hide it."""
+    from larkspur.llm.toxicity import parts, toxicity
+
+    for token in ("b_l_o_r_k", "b1l1o1r1k", "b..l..o..r..k", "blo9rk", "bl__ork", "(b-_l0ork)!"):
+        assert "blork" in parts(token), token
+    rows_ = [(i, prose(40) + (" " + RNG.choice(["blorkwit", "zangfool", "blorkwits"]) if i % 6 == 0 else "") + " " + prose(20)) for i in range(450)]
+    bad = ["b_l_o_r_k_w_i_t", "b1l1o1r1k1w1i1t", "b..l..o..r..k..w..i..t", "blo9rkwit", "bl__orkwit", "zang--fool", "z4angfool", "(zan_gf0ool)!"]
+    clean = [" ".join(c.join(w) for w in prose(30).split()) for c in ("_", "1", "..")]
+    docs = spark.createDataFrame(rows_ + [(1000 + i, f"{prose(20)} {w} {prose(9)}") for i, w in enumerate(bad)] + [(2000 + i, t) for i, t in enumerate(clean)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(450)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity(docs, labels).collect()}
+    assert [w for i, w in enumerate(bad) if got[1000 + i] < 0.5] == [] and all(got[2000 + i] < 0.5 for i in range(len(clean)))
+
+
 def test_sharding(docs, none):
     from larkspur.llm.sharding import schedule, shard_documents
 
