@@ -271,7 +271,7 @@ def near_pairs(
                 stack.append((right, outer[o > r - bits]))
                 continue
         everything = np.concatenate([inner, outer])
-        if fp is not None and len(everything) > 4 * LEAF:
+        if fp is not None and len(inner) > 4 * LEAF:
             rest: list[np.ndarray] = []
             yield from dense_pairs(fp, everything, most, root, rest)
             everything = rest[0]
