@@ -4,8 +4,8 @@ A document's ids are cut into full pieces and one remainder. Only the histogram
 of piece lengths (at most ``length`` rows) reaches the driver: lengths go in,
 longest first, to the pack with the most room, and a pack is a pattern of
 lengths with a count, so the work depends on the histogram and not on the
-corpus. What no pack has room for is cut at the room left (cutting is free
-here): patterns that stay short are dissolved into the gaps of the others. The
+corpus. Pieces left over are not cut again: two remainders of over half a length
+never share a pack. The
 pieces then find their pattern by their rank among the pieces of their length.
 
 Cases: null text counts as empty and gives a piece of the end id alone; an
