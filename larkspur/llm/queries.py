@@ -116,8 +116,8 @@ i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 sized AS (SELECT item_id, w, least(13, len(w)) AS n FROM i WHERE len(w) > 0),
 spots AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM sized),
 wins AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS win FROM spots),
-at AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n),
-here AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS win FROM at),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n),
+here AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS win FROM places),
 occ AS (SELECT doc_id, item_id, n, p FROM here JOIN wins USING (n, win)),
 hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM occ) GROUP BY doc_id),
 named AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM occ GROUP BY doc_id)
