@@ -7,14 +7,22 @@ legal and compare equal to each other.
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_scratch: list[str] = []
+#: The most keys that split_join() broadcasts; a key with more than this part of all rows is cut in pieces.
+HOT_KEYS = 10_000
+#: Shuffle files of a finished write go at once.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,9 +40,46 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("larkspur.scratch")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    """Names of the folders of the files that ``df`` reads."""
+    return {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+
+
+class Scratch:
+    """Owner of the tables stored in its ``with`` block, so that each piece of work deletes its own and no others."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Scratch":
+        self._token = _owner.set(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        _owner.reset(self._token)
+
+    def release(self) -> None:
+        """Delete the tables; call it once nothing that reads them is left to run."""
+        while self.paths:
+            _delete(self.spark, self.paths.pop())
+
+    def serves(self, df: DataFrame) -> bool:
+        """Whether ``df`` reads one of the tables."""
+        return not _folders(df).isdisjoint(p.rsplit("/", 1)[-1] for p in self.paths)
+
+
+_owner: ContextVar[Scratch | None] = ContextVar("owner", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
-    _scratch.append(path)
+    if (owner := _owner.get()) is not None:
+        owner.paths.append(path)
     return path
 
 
@@ -42,31 +87,59 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    free_shuffles(spark)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of plans nobody holds any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(df: DataFrame) -> None:
+    """Delete a table of materialize() that its only reader is done with; any other table stays."""
+    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if re.search(r"/larkspur/[\w-]+-[0-9a-f]{32}$", f):
+            _delete(df.sparkSession, f)
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of a text column, since texts may be very long; none is empty."""
+    for batch in batches:
+        if batch.num_rows:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                yield batch.slice(i, j - i)
+
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a stored table, to be broadcast if it has at most so many rows, else shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
 
-def release_scratch(spark: SparkSession, name: str | None = None) -> None:
-    """Delete tables written by materialize(), or the last one called ``name``; call once their readers are done."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    named = [p for p in _scratch if name is None or p.rsplit("/", 1)[-1].startswith(f"{name}-")]
-    for p in named if name is None else named[-1:]:
-        _scratch.remove(p)
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
 
+def hash_sample(df: DataFrame, rows: int, wanted: int, *key: str) -> DataFrame:
+    """About ``wanted`` of ``rows`` rows, the same for the same keys; tasks send no others."""
+    rate = max(1, rows // max(1, wanted))
+    return df.where(F.pmod(F.xxhash64(F.lit(17), *key), F.lit(rate)) == 0)
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, since texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: str = "inner", least: int = 1000) -> DataFrame:
+    """``rows`` joined by name to ``table``, which has one row a key and in ``n`` the number of rows that have it.
+
+    Both are stored tables. Keys of more than a HOT_KEYS-th of all rows, of which
+    there are fewer than HOT_KEYS, are dealt over pieces of that size; the
+    table's rows for them are repeated for each piece.
+    """
+    limit = max(least, (table.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS)
+    pieces = F.ceil(F.col(n) / limit).cast("int")
+    hot = table.where(F.col(n) > limit).select(*keys, pieces.alias("__pieces"))
+    if hot.isEmpty():
+        return rows.join(table, keys, how)
+    dealt = rows.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(hot), keys, "left")
+    dealt = dealt.withColumn("__piece", F.pmod(F.xxhash64("__row"), F.coalesce("__pieces", F.lit(1))).cast("int")).drop("__pieces", "__row")
+    table = table.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)))
+    return dealt.join(table, [*keys, "__piece"], how).drop("__piece")
 
 
 def text_key(text: Column) -> Column:
@@ -107,6 +180,13 @@ def ranked(df: DataFrame, part: str, salt: list[str], order: list[str], rows: in
     )
 
 
+def meet(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """Edges with the least neighbour of ``a``; the edges of hubs are dealt over pieces where there are many edges."""
+    if n < 1_000_000:
+        return edges.join(least.drop("n"), "a")
+    return split_join(edges, materialize(least, "least"), ["a"], "n")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for nodes of ``edges`` (a long, b long); component is its smallest node.
 
@@ -117,17 +197,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
+    n = edges.count()
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = (
-            both.join(least, "a").where(F.col("b") > F.col("a"))
+            meet(both, least, n).where(F.col("b") > F.col("a"))
             .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         )
         large = materialize(large, "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = (
-            large.join(low, "a")
+            meet(large, low, n)
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.*").where("a <> b").distinct()
         )

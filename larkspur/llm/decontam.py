@@ -1,16 +1,20 @@
 """Benchmark decontamination as a prefix-filtered set join on word shingles.
 
-A window is ``window`` consecutive item words, or a whole shorter item. Windows
-and documents are sequences of shingles of ``shingle`` words (fewer in shorter
-items). Shingles are ordered by how rare they are in the documents. For exact
-containment the prefix of a window is its single rarest shingle: only where
-that occurs can the window occur, at the position it gives, within the bounds of
-the document. There the window is verified whole: each of its shingles must lie
-at its place. DataFrame functions only.
+A window is ``window`` consecutive item words, or a whole shorter item; it is a
+sequence of shingles of ``shingle`` words (fewer in shorter items). Shingles are
+ordered by rarity: by how often their words occur in the documents, the rarest
+word first. For exact containment the prefix of a window is its single rarest
+shingle. Only these meet the documents, first by their rarest word and then
+whole. Where one occurs it gives the only place that the window can have there;
+the place must lie within the document (bounds of length and position), and the
+words at the place must be the window's, all of them. A window with a word that
+no document has drops out before. DataFrame functions only.
 
 Cases: null and word-less texts have no words and no hits; items without words
-have no windows; empty tables give no hits or no rows; repeated documents get a
-row each; repeated item ids count once, null item ids never; other columns are
+have no windows; empty tables give no hits or no rows; very long texts pass word
+by word and only 2 * window - 1 words around a match are kept of them; repeated
+documents get a row each; null document ids are equal to each other, with texts
+told apart; repeated item ids count once, null item ids never; other columns are
 ignored.
 """
 
@@ -19,39 +23,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, same_row
+from .common import keyed, materialize, same_row, sized, split_join
 from .url_filter import LOWER, UPPER
 
 #: What separates words: ASCII but digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_SHINGLES = 200_000
+#: Most words or shingles of a benchmark that are broadcast; more are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
     lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.filter(F.split(lowered, BETWEEN, -1), lambda w: w != "")
+    return F.array_remove(F.split(lowered, BETWEEN, -1), "")
 
 
-def shingles(column: str, size: int) -> Column:
-    """An array of the space-joined shingles of ``size`` words of an array column."""
-    w = F.col(column)
-    last = F.size(w) - size + 1
-    joined = F.transform(F.sequence(F.lit(1), last), lambda i: F.concat_ws(" ", *[F.element_at(w, (i + k).cast("int")) for k in range(size)]))
-    return F.when(last >= 1, joined).otherwise(F.array().cast("array<string>"))
+def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """item (id as a string), win (digest), n, ww: the words of each window of each item."""
+    rows = items.select(items[id_col].cast("string").alias("item"), words(items[text_col]).alias("w")).where("size(w) > 0")
+    n = F.least(F.lit(window), F.size("w"))
+    starts = F.sequence(F.lit(1), F.size("w") - n + 1)
+    wins = rows.select("item", n.alias("n"), F.explode(F.transform(starts, lambda i: F.slice("w", i, n))).alias("ww")).distinct()
+    return wins.withColumn("win", F.sha2(F.concat_ws(" ", "ww"), 256))
 
 
-def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, shingle: int) -> DataFrame:
-    """item_id, win, n (words), j, sh: the shingles of each window of each item."""
-    rows = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w")).where("size(w) > 0")
-    n = F.least(F.lit(window), F.size("w"))
-    wins = rows.select("item_id", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))).alias("ww")).distinct()
-    wins = wins.withColumn("win", F.sha2(F.concat_ws(" ", "ww"), 256))
-    parts = None
-    for size in range(1, shingle + 1):
-        fits = (F.col("n") == size) if size < shingle else (F.col("n") >= size)
-        one = wins.where(fits).select("item_id", "win", "n", F.lit(size).alias("size"), F.posexplode(shingles("ww", size)).alias("j", "sh"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+def word_counts(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """word, c: how often the words of the windows occur in the documents."""
+    vocabulary = materialize(wins.select(F.explode("ww").alias("word")).distinct(), "vocabulary")
+    every = docs.select(F.explode(words(F.col("text"))).alias("word"))
+    if vocabulary.count() <= BROADCAST_ROWS:
+        return every.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    return every.groupBy("word").agg(F.count(F.lit(1)).alias("c")).join(vocabulary, "word", "left_semi")
+
+
+def prefixes(wins: DataFrame, counts: DataFrame, shingle: int) -> DataFrame:
+    """win, n, ww, size, j, o, sh, word: each possible window's rarest shingle, which starts at its word j and has its rarest word at o."""
+    spots = wins.select("win", "n", "ww").dropDuplicates(["win"]).select("win", "n", "ww", F.posexplode("ww").alias("p", "word")).join(counts, "word", "left")
+    known = (
+        spots.groupBy("win").agg(F.first("n").alias("n"), F.first("ww").alias("ww"), F.count("c").alias("n_seen"), F.array_sort(F.collect_list(F.struct("p", "c"))).alias("pc"))
+        .where("n_seen = n").withColumn("cs", F.col("pc.c")).withColumn("size", F.least(F.lit(shingle), F.col("n")))
+    )
+    at = F.sequence(F.lit(0), F.col("n") - F.col("size"))
+    order = F.transform(at, lambda j: F.struct(F.array_sort(F.slice("cs", j + 1, F.col("size"))).alias("rarity"), j.alias("j")))
+    first = known.withColumn("first", F.array_min(order)).withColumn("j", F.col("first.j"))
+    first = first.withColumn("o", (F.array_position(F.slice("cs", F.col("j") + 1, F.col("size")), F.col("first.rarity")[0]) - 1).cast("int"))
+    words_of = F.slice("ww", F.col("j") + 1, F.col("size"))
+    return first.select("win", "n", "ww", "size", "j", "o", F.concat_ws(" ", words_of).alias("sh"), F.col("ww")[F.col("j") + F.col("o")].alias("word"))
+
+
+def shingle_hits(docs: DataFrame, first: DataFrame, window: int) -> DataFrame:
+    """doc_id, th, n_words, sh, at, around, lo: where prefix shingles occur, and the words around from word ``lo`` on."""
+    keys = materialize(first.select("word", "size", "o").distinct(), "prefix-words")
+    known = materialize(first.select("sh").distinct(), "prefix-shingles")
+    split = docs.select("doc_id", "th", words(F.col("text")).alias("w"))
+    rows = split.select("doc_id", "th", "w", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "word"))
+    lo = F.greatest(F.col("pos") - (window - 1), F.lit(0))
+    around = F.slice("w", lo + 1, F.lit(2 * window - 1))
+    if keys.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(keys), "word").withColumn("lo", lo).withColumn("around", around)
+    else:  # whole texts are not to be shuffled once for each of their words
+        rows = rows.withColumn("lo", lo).withColumn("around", around).drop("w").join(keys, "word")
+    rows = rows.withColumn("at", F.col("pos") - F.col("o")).where("at >= 0 AND at + size <= n_words")
+    rows = rows.withColumn("sh", F.concat_ws(" ", F.slice("around", F.col("at") - F.col("lo") + 1, F.col("size"))))
+    return rows.join(sized(known, BROADCAST_ROWS), "sh", "left_semi").select("doc_id", "th", "n_words", "sh", "at", "around", "lo").distinct()
+
+
+def occurrences(hits: DataFrame, first: DataFrame) -> DataFrame:
+    """doc_id, th, win, n, start: the places where whole windows lie."""
+    of = first.groupBy("sh").agg(F.collect_list(F.struct("win", "n", "j", "ww")).alias("wins"))
+    table = materialize(of.join(hits.groupBy("sh").agg(F.count(F.lit(1)).alias("n_rows")), "sh"), "shingle-windows")
+    met = split_join(hits, table, ["sh"], "n_rows").select("doc_id", "th", "n_words", "at", "around", "lo", F.inline("wins"))
+    met = met.withColumn("start", F.col("at") - F.col("j")).where("start >= 0 AND start + n <= n_words")
+    whole = F.slice("around", F.col("start") - F.col("lo") + 1, F.col("n")) == F.col("ww")
+    return met.where(whole).select("doc_id", "th", "win", "n", "start").distinct()
 
 
 def contamination(
@@ -62,57 +105,24 @@ def contamination(
 
     contaminated: hit words are at least one in ``one_in`` words, and not none.
     """
-    wins = materialize(item_windows(items, item_col, item_text, window, shingle), "windows")
-    known = wins.select("sh", "size").distinct()
-    n_known = known.count()
-    sizes = [r[0] for r in wins.select("size").distinct().collect()]
-    # At most this many rows of the benchmark are broadcast; a larger one shuffles.
-    hint = F.broadcast if n_known <= BROADCAST_SHINGLES else (lambda df: df)
-    split = keyed(docs, id_col, text_col).select("doc_id", "th", words(F.col("text")).alias("w"))
-    found = None
-    for size in sorted(sizes):
-        of = hint(known.where(F.col("size") == size).select(F.col("sh").alias("k")))
-        one = split.where(F.size("w") >= size).select("doc_id", "th", F.size("w").alias("n_words"), F.posexplode(shingles("w", size)).alias("pos", "sh"))
-        one = one.join(of, one["sh"] == of["k"], "left_semi").select("doc_id", "th", "n_words", "pos", "sh")
-        found = one if found is None else found.unionByName(one)
-    counts = keyed(docs, id_col, text_col).select("doc_id", "th", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    if found is None:
-        return counts.withColumns({"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "item_ids": F.array().cast("array<string>"), "contaminated": F.lit(False)})
-    found = materialize(found.distinct(), "shingle-hits")  # repeated documents have the same key
-    rarity = found.groupBy("sh").agg(F.count(F.lit(1)).alias("freq"))
-    # A window one of whose shingles never occurs can't occur; the others keep their rarest.
-    ranked = wins.select("win", "n", "j", "sh").distinct().join(hint(rarity), "sh", "left")
-    prefix = (
-        ranked.groupBy("win", "n")
-        .agg(F.count(F.lit(1)).alias("n_sh"), F.count("freq").alias("n_seen"), F.min(F.struct("freq", "j", "sh")).alias("first"))
-        .where("n_sh = n_seen").select("win", "n", "n_sh", F.col("first.j").alias("j"), F.col("first.sh").alias("sh"))
-    )
-    starts = (
-        found.join(hint(prefix), "sh").withColumn("start", F.col("pos") - F.col("j"))
-        .where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words")))
-        .select("doc_id", "th", "win", "n", "n_sh", "start")
-    )
-    places = wins.select(F.col("win").alias("p_win"), F.col("j").alias("p_j"), F.col("sh").alias("p_sh")).distinct()
-    wanted = starts.join(hint(places), F.col("win") == F.col("p_win")).withColumn("at", F.col("start") + F.col("p_j"))
-    there = found.select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), F.col("pos").alias("f_pos"), F.col("sh").alias("f_sh"))
-    verified = (
-        wanted.join(there, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")) & (F.col("at") == F.col("f_pos")) & (F.col("p_sh") == F.col("f_sh")))
-        .groupBy("doc_id", "th", "win", "n", "start").agg(F.count(F.lit(1)).alias("n_at"), F.first("n_sh").alias("n_sh"))
-        .where("n_at = n_sh").select("doc_id", "th", "win", "n", "start")
-    )
-    verified = materialize(verified, "occurrences")
+    docs = keyed(docs, id_col, text_col)
+    wins = materialize(item_windows(items, item_col, item_text, window), "windows")
+    counts = materialize(word_counts(docs, wins), "word-counts")
+    first = materialize(prefixes(wins, counts, shingle), "prefixes")
+    hits = materialize(shingle_hits(docs, first, window), "shingle-hits")
+    found = materialize(occurrences(hits, first), "occurrences")
     hit = (
-        verified.select("doc_id", "th", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("p")).distinct()
+        found.select("doc_id", "th", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("p")).distinct()
         .groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n_hit"))
     )
-    owners = wins.select("win", F.col("item_id").cast("string").alias("item")).where("item IS NOT NULL").distinct()
-    named = (
-        verified.select("doc_id", "th", "win").distinct().join(hint(owners), "win")
-        .groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
-    )
+    met = materialize(found.select("doc_id", "th", "win").distinct(), "windows-met")
+    owners = wins.where("item IS NOT NULL").groupBy("win").agg(F.collect_set("item").alias("items"))
+    owners = materialize(owners.join(met.groupBy("win").agg(F.count(F.lit(1)).alias("n_rows")), "win"), "owners")
+    named = split_join(met, owners, ["win"], "n_rows").groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))
     both = hit.join(named, same_row(hit, named), "left").select(hit["doc_id"], hit["th"], "n_hit", "item_ids")
-    out = counts.join(both, same_row(counts, both), "left").select(
-        counts["doc_id"], counts["th"], "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+    sizes = docs.select("doc_id", "th", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    out = sizes.join(both, same_row(sizes, both), "left").select(
+        sizes["doc_id"], sizes["th"], "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
     )
     return out.withColumns({

@@ -9,7 +9,7 @@ gets its payload's facts at its position. Payload bytes never move in a shuffle:
 features are computed where a stored payload is read.
 
 Cases: null html or text counts as empty; references without a stored payload
-keep null facts; equal payloads are kept once per file and resolve to the same
+keep null facts; null ids are kept; very long texts pass a few at a time; equal payloads are kept once per file and resolve to the same
 facts; tags that are never closed and unknown entities are kept as text by the
 parser's rules; an empty table gives no rows; other columns are ignored.
 """
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, portions, split_join
 
 WIDTH = 576
 SEQUENCE = "array<struct<position int, kind string, text string, digest string, caption string>>"
@@ -108,7 +108,7 @@ def sequences(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
-        for batch in batches:
+        for batch in portions(batches, 1):
             items = [parse_html(h) for h in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, kind)], ["doc_id", "items"])
 
@@ -173,7 +173,7 @@ def store_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in portions(batches, 0):
             digests, media = [], []
             for text in batch.column(0):
                 payload = padded(text.as_py())
@@ -209,9 +209,11 @@ def media_facts(media: DataFrame) -> DataFrame:
 
 
 def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
-    """References with the facts of their stored payload."""
-    facts = media_facts(media).withColumnRenamed("digest", "__digest")
-    return refs.join(facts, refs["digest"] == facts["__digest"], "left").drop("__digest")
+    """References (digest and other columns) with the facts of their stored payload."""
+    refs = materialize(refs, "references")
+    counts = refs.groupBy("digest").agg(F.count(F.lit(1)).alias("__refs"))
+    facts = materialize(media_facts(media).join(counts, "digest"), "media-facts")
+    return split_join(refs, facts, ["digest"], "__refs", "left").drop("__refs")
 
 
 def interleaved_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize
 from .decontam import contamination
 from .media import interleaved_documents, references, resolve, sequences, store_media
 from .packing import pack_documents
 from .sharding import shard_documents
 from .simhash import near_fingerprints
 from .suffix_dedup import remove_repeats
-from .token_counts import count_edited
+from .token_counts import apply_edits, build_trees
 from .token_files import token_files
 from .toxicity import toxicity
 from .url_filter import apply_rules, rules_frame
@@ -30,7 +30,6 @@ RULES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -92,13 +91,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all documents, before and after three edits whose places follow from the document."""
-    docs = table(spark, sf_dir, "documents")
-    n = F.char_length(F.coalesce("text", F.lit("")))
+    """Token counts of all documents from their stored trees, before and after three later edits whose places follow from the document."""
+    path = tokenizer("byte_bpe_50k.json")
+    trees = materialize(build_trees(table(spark, sf_dir, "documents"), path), "trees")
+    n = F.char_length("text")
     at = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), n + 1).cast("int")
     edit = lambda p, d, s: F.struct(p.alias("position"), F.lit(d).alias("delete"), F.lit(s).alias("insert"))
     edits = F.array(edit(at(1), 12, ""), edit(at(2), 0, " inserted words, 42 "), edit(at(3), 5, "x"))
-    return count_edited(docs, tokenizer("byte_bpe_50k.json"), edits)
+    return apply_edits(trees.withColumn("edits", edits), path, keep=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

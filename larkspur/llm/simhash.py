@@ -17,7 +17,7 @@ of the hashes. Distinct fingerprints are compared, in one of two ways:
   Groups of over GROUP sets are compared with one of theirs first; the triangle
   inequality of the Jaccard distance leaves few to compare in pieces.
 
-The search: a tree over a bounded sample (SAMPLE rows) splits the Hamming space
+The search: a tree over a bounded sample splits the Hamming space
 into shards. At a node, those within the radius of the vantage point go left,
 the others right. A fingerprint has one home; by the triangle inequality a node
 can only cut a pair within ``bits`` if its right one lies at most ``bits``
@@ -27,7 +27,7 @@ forest of its links, which keeps every connection without listing the pairs of a
 group; components join the forests.
 
 Cases: null text counts as empty; texts without words have fingerprint zero,
-linked like any other; repeated rows and null ids get a row each; the smallest
+linked like any other; very long texts count whole; repeated rows and null ids get a row each; the smallest
 id of a component ignores null ids unless there is no other; an empty table
 gives no rows; other columns are ignored.
 """
@@ -42,9 +42,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keyed, materialize, text_key
+from .common import components, hash_sample, keyed, materialize, portions, split_join, text_key
 
-SAMPLE = 8192
+#: Fingerprints that the shards' tree is made from: at least SAMPLE, 16 a shard, at most MOST_SAMPLE.
+SAMPLE, MOST_SAMPLE = 8192, 131_072
 LEAF = 256
 PER_SHARD = 200_000
 WORDS, BLOCK_BITS, BLOCK_RADIUS = 8, 28, 3
@@ -122,7 +123,7 @@ def fingerprints(docs: DataFrame, shingle: int, words: int, id_col: str = "doc_i
     """doc_id, th (hash of the text), fp: the fingerprint's bytes, big-endian words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2):
             fps = fingerprint_texts(batch.column(2).to_pylist(), shingle, words).astype(">u8")
             data = pa.array([r.tobytes() for r in fps], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data], ["doc_id", "th", "fp"])
@@ -312,14 +313,15 @@ def linked(classes: DataFrame, n: int, blocks: int, width: int, radius: int, mos
     """
     if not n:
         return classes.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    sample = as_words(pa.array([bytes(r[0]) for r in classes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], pa.binary()))
     shards = max(1, -(-n // PER_SHARD), min(16, n // 2000) if blocks == 1 else 1)
+    taken = hash_sample(classes, n, min(MOST_SAMPLE, max(SAMPLE, 16 * shards)), "fp").select("fp").collect()
+    sample = as_words(pa.array([bytes(r[0]) for r in taken], pa.binary()))
     trees = [vantage_tree(block(sample, k, width), max(16, len(sample) // shards)) for k in range(blocks)]
     # Shards that no tree can split, by the rows to expect from the sample: each is cut in pieces that meet in pairs.
     pieces: dict[tuple[int, int], int] = {}
     for k in range(blocks):
         for rows, shard, home in route(block(sample, k, width), trees[k], radius):
-            pieces[k, shard] = max(1, -(-int(home.sum()) * n // (len(sample) * 2 * PER_SHARD)))
+            pieces[k, shard] = max(1, -(-int(home.sum()) * n // (max(1, len(sample)) * 2 * PER_SHARD)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,15 +358,21 @@ def linked(classes: DataFrame, n: int, blocks: int, width: int, radius: int, mos
     )
 
 
+def named_components(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """``classes`` (node, first) with component_id: the least ``first`` of the component, which is found (node, component) or the node alone."""
+    named = materialize(classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "components")
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n_nodes"))
+    return split_join(named, materialize(least, "least"), ["component"], "n_nodes").drop("n_nodes")
+
+
 def near_fingerprints(docs: DataFrame, shingle: int = 5, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: 64-bit fingerprints linked within ``bits``."""
     rows = materialize(fingerprints(docs, shingle, 1, id_col, text_col), "fingerprints")
     node = F.conv(F.hex("fp"), 16, -10).cast("long")
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", node), "classes")
+    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("node", node), "classes")
     found = components(linked(classes, classes.count(), 1, 64, bits, bits))
-    named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    rows = rows.join(named.join(least, "component").select("fp", "component_id"), "fp")
+    named = named_components(classes, found).select("fp", "n", "component_id")
+    rows = split_join(rows, materialize(named, "named"), ["fp"], "n")
     return rows.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
@@ -475,7 +483,7 @@ def set_prints(docs: DataFrame, shingle: int, similarity: float, id_col: str, te
     import xxhash
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2):
             sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
             fps = fingerprint_sets(sets, WORDS).astype(">u8")
             node = np.array([xxhash.xxh3_64_intdigest(x.astype("<u8").tobytes()) for x in sets], np.uint64).view(np.int64)
@@ -505,7 +513,7 @@ def candidate_members(docs: DataFrame, classes: DataFrame, groups: DataFrame, sh
     """(g, node, items): the sets of all nodes in ``groups`` (node, component)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2):
             items = [shingle_set(t, shingle).astype("<u8").tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, pa.binary())], ["g", "node", "items"])
 
@@ -516,13 +524,13 @@ def candidate_members(docs: DataFrame, classes: DataFrame, groups: DataFrame, sh
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, th, component_id: texts linked by similar sets of shingles (see above)."""
+    """doc_id, th, component (a number that tells all components apart), component_id: texts linked by similar sets of shingles (see above)."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi  # of bits that differ
     bits = 64 * WORDS
     most = math.ceil(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
     rows = materialize(set_prints(docs, shingle, similarity, id_col, text_col), "fingerprints")
     classes = rows.groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "th")).alias("pick"), F.first("fp").alias("fp"), F.first("items").alias("items")
+        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("pick"), F.first("fp").alias("fp"), F.first("items").alias("items")
     )
     classes = materialize(classes, "classes")
     # Equal fingerprints of different sets are candidates by themselves.
@@ -533,7 +541,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     members = materialize(candidate_members(docs, classes, groups, shingle, id_col, text_col), "members")
     short = materialize(short_members(classes, similarity), "short")
     exact = components(exact_links(members, similarity).union(exact_links(short, similarity)))
-    named = classes.select("node", "first").join(exact, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("node", "component_id")
-    return rows.select("doc_id", "th", "node").join(named, "node").select("doc_id", "th", "component_id")
+    named = materialize(named_components(classes.select("node", "first", "n"), exact).select("node", "n", "component", "component_id"), "named")
+    return split_join(rows.select("doc_id", "th", "node"), named, ["node"], "n").select("doc_id", "th", "component", "component_id")

@@ -7,21 +7,25 @@ string alone, so equal strings have equal anchors at equal offsets. Anchors
 whose k-gram is unique have no repeated strings. For the others:
 
 * An anchor's context is the bytes of all strings that select it. Equal contexts
-  become one row with a count; with two copies all its strings repeat.
-* Different contexts are sorted as suffixes from the anchor. A bounded sample of
-  splitters deals them over range partitions by their leading bytes. A bucket
-  sorts by multikey quicksort, on eight bytes at a time over the rows that are
-  still equal, once to the right of the anchors and once to the left; the common
-  prefixes of neighbours then tell, for each offset of the anchor, which
-  contexts hold equal strings.
-* A run that shares its prefix with a splitter may go on in the next bucket. Its
-  strings are compared across boundaries, by a shuffle on their SHA-256.
+  (by BLAKE2b) go to the sort as one row with a count, so that the copies of a
+  frequent passage are no burden; the bucket marks all strings of a row that
+  counts twice.
+* Contexts are sorted as suffixes from the anchor. Sampled splitters deal them
+  over range partitions by their leading bytes, at two levels where there are
+  many, so that the driver holds a fixed number of splitters. A bucket sorts by
+  multikey quicksort on words of eight bytes, once to the right of the anchors
+  and once to the left; the common prefixes of neighbours then tell, for each
+  offset of the anchor, which contexts hold equal strings.
+* A run that shares its prefix with a bucket's first or last row may go on in the
+  next bucket. Its strings are compared across boundaries, by a shuffle on their
+  SHA-256.
 
 Then texts and their repeated intervals meet once, and the rest is kept.
 
-Cases: null text counts as empty; texts shorter than LENGTH stay whole; repeated
-rows are each other's copies and get a row each; null ids are legal; an empty
-table gives no rows; other columns are ignored (``deduplicated`` keeps them).
+Cases: null text counts as empty; texts shorter than LENGTH stay whole; very long
+texts pass in pieces; repeated rows are each other's copies and get a row each;
+null ids are legal; an empty table gives no rows; other columns are ignored
+(``deduplicated`` keeps them).
 """
 
 from __future__ import annotations
@@ -36,12 +40,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, release_scratch, same_row, text_key
+from .common import discard, hash_sample, keyed, materialize, portions, same_row, split_join, text_key
 
 LENGTH, GRAM = 200, 80
 OFFSETS = LENGTH - GRAM + 1  # an anchor starts 0 .. OFFSETS - 1 bytes into its string
 PIECE = 200_000
 SPLITTERS_PER_BUCKET, BUCKET_ROWS = 8, 60_000
+#: Most buckets of the first level, whose splitters pass the driver.
+LEVEL = 512
 PRIME = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -152,7 +158,7 @@ def as_bytes(text: str | None) -> np.ndarray:
 
 def gram_rows(rows: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2):
             data, bounds = text_bytes(batch.column(2))
             row, spot, _, _, gram = anchors_of(data, bounds)
             take = pa.array(row)
@@ -168,31 +174,23 @@ CONTEXTS = "c1 long, c2 long, doc_id long, th long, spot int, low int, high int"
 
 
 def context_rows(rows: DataFrame) -> DataFrame:
-    """The contexts of candidate anchors (column spots) as hashes c1, c2, and the anchor's least and greatest offset in their strings."""
+    """The contexts of candidate anchors (column spots) as the halves c1, c2 of their digest, and the anchor's least and greatest offset in their strings."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2):
             data, bounds = text_bytes(batch.column(2))
             spots = batch.column(3)
             wanted = spots.flatten().to_numpy() + np.repeat(bounds[:-1], np.diff(spots.offsets.to_numpy()))
             row, spot, first, last, _ = anchors_of(data, bounds)
             keep = np.isin(spot, wanted)
             row, spot, first, last = row[keep], spot[keep], first[keep], last[keep]
-            stop = last + LENGTH
-            h1, h2 = np.empty(len(spot), np.uint64), np.empty(len(spot), np.uint64)
-            cuts = np.searchsorted(first, np.arange(0, len(data) + PIECE, PIECE))
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                if i == j:
-                    continue
-                f, e = first[i:j], stop[i:j]
-                part = data[f[0] : e.max()]
-                left = (spot[i:j] - f).astype(np.uint64)  # where the anchor lies belongs to the context
-                h1[i:j] = mixed(range_hash(prefix_sums(part), f - f[0], e - f[0]) + left * np.uint64(PRIME), 0xE7037ED1A0B428DB)
-                other = range_hash(prefix_sums((part * np.uint8(167)) ^ np.uint8(85)), f - f[0], e - f[0])
-                h2[i:j] = mixed(other ^ (e - f).astype(np.uint64), 0x8EBC6AF09C88C6E3)
+            whole, blake = data.tobytes(), hashlib.blake2b
+            # Where the anchor lies belongs to the context.
+            digests = [blake(whole[f:e] + bytes([a]), digest_size=16).digest() for f, e, a in zip(first.tolist(), (last + LENGTH).tolist(), (spot - first).tolist())]
+            both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take),
+                [pa.array(both[:, 0]), pa.array(both[:, 1]), batch.column(0).take(take), batch.column(1).take(take),
                  *(pa.array(x.astype(np.int32)) for x in (spot - bounds[row], spot - last, spot - first))],
                 [c.split()[0] for c in CONTEXTS.split(", ")],
             )
@@ -210,7 +208,7 @@ def suffix_rows(rows: DataFrame) -> DataFrame:
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 0):
             out = []
             for text, picks in zip(*(c.to_pylist() for c in batch.columns)):
                 data = as_bytes(text).tobytes()
@@ -230,22 +228,37 @@ def padded_words(strings: list[bytes], size: int) -> np.ndarray:
 
 
 def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
-    """Order of the rows of 8-byte words: sort on one word, go on with the next one within equal runs."""
+    """Order of the rows of 8-byte words, by multikey quicksort.
+
+    A segment of rows that are equal so far is split at a pivot word in smaller,
+    equal and greater ones; the equal ones go on with the next word. All
+    segments take their step at once.
+    """
+    keys = keys.astype(np.uint64)
     order = np.arange(len(keys))
-    run = np.zeros(len(keys), np.int64)  # which run of equal prefixes a sorted place belongs to
-    active = np.arange(len(keys))
-    for w in range(keys.shape[1]):
-        if not len(active):
-            break
-        rows = order[active]
-        column = keys[rows, w].astype(np.uint64)
-        by = np.lexsort((column, run[active]))
-        order[active] = rows[by]
-        column, of = column[by], run[active]
-        new = np.append(True, (of[1:] != of[:-1]) | (column[1:] != column[:-1]))
-        run[active] = active[np.flatnonzero(new)][np.cumsum(new) - 1]
-        alone = new & np.append(new[1:], True)
-        active = active[~alone]
+    at, depth = order.copy(), np.zeros(len(keys), np.int64)  # places in open segments, and the word they are at
+    segment = np.zeros(len(keys), np.int64)
+    if len(keys) < 2:
+        return order
+    while len(at):
+        rows = order[at]
+        word = keys[rows, depth]
+        starts = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
+        sizes = np.diff(np.append(starts, len(at)))
+        low, middle, high = word[starts], word[starts + sizes // 2], word[starts + sizes - 1]
+        pivot = np.repeat(np.maximum(np.minimum(low, middle), np.minimum(np.maximum(low, middle), high)), sizes)
+        side = (word >= pivot).astype(np.int64) + (word > pivot)
+        to = np.repeat(starts, sizes)  # each row's place in its segment: after those of lower sides, in order within its own
+        for k in range(3):
+            own = side == k
+            before = np.cumsum(own) - own
+            to = np.where(own, to + before - np.repeat(before[starts], sizes), to + (side > k) * np.repeat(np.add.reduceat(own, starts, dtype=np.int64), sizes))
+        part = np.empty_like(to)
+        order[at[to]], part[to] = rows, np.repeat(np.arange(len(starts)), sizes) * 3 + side
+        depth[to] = depth + (side == 1)
+        new = np.append(True, part[1:] != part[:-1])
+        open_ = ~(new & np.append(new[1:], True)) & (depth < keys.shape[1])
+        at, depth, segment = at[open_], depth[open_], part[open_]
     return order
 
 
@@ -289,31 +302,39 @@ def repeated_offsets(left: list[bytes], right: list[bytes], low: np.ndarray, hig
     return out
 
 
-def find_repeats(splitters: list[bytes]):
-    """A bucket's marks: (c1, c2, d, key): key is null if the string repeats here, else its digest, to be compared across the boundary."""
-    names = ["c1", "c2", "d", "key"]
+def find_repeats(several: bool):
+    """A bucket's marks (c1, c2, n, d, key): key is null if the string at offset d repeats here, at -1 all do; else its digest, to be compared across boundaries.
+
+    ``several``: there are other buckets.
+    """
 
     def task(table: pa.Table) -> pa.Table:
-        c1, c2, low, high = (table[c].to_numpy() for c in ("c1", "c2", "low", "high"))
+        c1, c2, n, low, high = (table[c].to_numpy() for c in ("c1", "c2", "n", "low", "high"))
         left, right = table["left"].to_pylist(), table["right"].to_pylist()
-        bucket = table["bucket"][0].as_py()
         here = repeated_offsets(left, right, low, high)
+        copied = np.flatnonzero(n > 1)
+        here[copied] = False
         i, d = np.nonzero(here)
+        i, d = np.concatenate([copied, i]), np.concatenate([np.full(len(copied), -1), d])
         keys: list = [None] * len(i)
-        edges = [s for s in (splitters[bucket - 1 : bucket] if bucket else []) + splitters[bucket : bucket + 1]]
+        edges = {min(right), max(right)} if several else set()
         more_i, more_d = [], []
-        for k in range(len(right)):
-            shared = max((_shared(right[k], s) for s in edges), default=0)
+        for k in range(len(right) if several else 0):
+            shared = max(_shared(right[k], s) for s in edges)
             if shared >= GRAM:
                 for offset in range(max(low[k], LENGTH - shared), high[k] + 1):
                     string = left[k][:offset][::-1] + right[k][: LENGTH - offset]
                     more_i.append(k), more_d.append(offset), keys.append(hashlib.sha256(string).digest())
         i, d = np.concatenate([i, np.array(more_i, np.int64)]), np.concatenate([d, np.array(more_d, np.int64)])
-        return pa.table([pa.array(c1[i]), pa.array(c2[i]), pa.array(d.astype(np.int32)), pa.array(keys, pa.binary())], names=names)
+        columns = [pa.array(c1[i]), pa.array(c2[i]), pa.array(n[i]), pa.array(d.astype(np.int32)), pa.array(keys, pa.binary())]
+        return pa.table(columns, names=[c.split()[0] for c in MARKS.split(", ")])
 
     return task
 
 
+MARKS = "c1 long, c2 long, n long, d int, key binary"
+
+
 def _shared(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
@@ -322,20 +343,50 @@ def _shared(a: bytes, b: bytes) -> int:
     return int(x.argmax())
 
 
-def deal_suffixes(distinct: DataFrame, rows: int) -> tuple[DataFrame, list[bytes]]:
-    """Contexts with their bucket: sampled splitters over the suffixes, by leading bytes."""
+def cut_points(sample: list[tuple[bytes, bytes]], buckets: int) -> list[tuple[bytes, bytes]]:
+    """Evenly spaced members of a sample of (right, left) that part it in ``buckets``."""
+    found = sorted(sample)
+    return sorted({found[k * len(found) // buckets] for k in range(1, buckets)}) if found else []
+
+
+def deal_suffixes(distinct: DataFrame, rows: int) -> DataFrame:
+    """Contexts with their bucket: ranges between sampled splitters, by leading bytes.
+
+    The driver sees the splitters of at most LEVEL ranges. Where more buckets are
+    wanted, each range has its own splitters, found and applied in tasks.
+    """
     buckets = max(1, -(-rows // BUCKET_ROWS))
-    wanted = buckets * SPLITTERS_PER_BUCKET
-    sample = distinct.select("left", "right").orderBy(F.xxhash64("c1", "c2")).limit(wanted if buckets > 1 else 0).collect()
-    found = sorted((bytes(s["right"]), bytes(s["left"])) for s in sample)
-    bounds = sorted({found[k * len(found) // buckets] for k in range(1, buckets)}) if found else []
+    coarse = min(buckets, LEVEL)
+    fine = -(-buckets // coarse)
+    taken = hash_sample(distinct, rows, coarse * SPLITTERS_PER_BUCKET, "c1", "c2").select("right", "left").collect() if coarse > 1 else []
+    bounds = cut_points([(bytes(s["right"]), bytes(s["left"])) for s in taken], coarse)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column(4).to_pylist(), batch.column(3).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([bisect_right(bounds, p) for p in pairs], pa.int32())], [*batch.schema.names, "bucket"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([bisect_right(bounds, p) for p in pairs], pa.int64())], [*batch.schema.names, "bucket"])
 
-    return distinct.mapInArrow(task, SUFFIXES + ", bucket int"), [b[0] for b in bounds]
+    dealt = distinct.mapInArrow(task, SUFFIXES + ", bucket long")
+    if fine == 1:
+        return dealt
+
+    def split(table: pa.Table) -> pa.Table:
+        found = cut_points(list(zip(table["right"].to_pylist(), table["left"].to_pylist())), fine)
+        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()] * len(found), pa.int64()), "r": pa.array([r for r, _ in found], pa.binary()), "l": pa.array([x for _, x in found], pa.binary())})
+
+    def place(table: pa.Table, own: pa.Table) -> pa.Table:
+        inner = sorted(zip(own["r"].to_pylist(), own["l"].to_pylist()))
+        pairs = zip(table["right"].to_pylist(), table["left"].to_pylist())
+        at = [b * fine + bisect_right(inner, p) for b, p in zip(table["bucket"].to_pylist(), pairs)]
+        table = table.drop_columns(["bucket", "salt"])
+        return table.append_column("bucket", pa.array(at, pa.int64()))
+
+    salts = max(1, fine)  # so a group holds about a bucket's rows
+    thin = hash_sample(distinct, rows, buckets * SPLITTERS_PER_BUCKET, "c1", "c2").mapInArrow(task, SUFFIXES + ", bucket long")
+    inner = thin.select("bucket", "right", "left").groupBy("bucket").applyInArrow(split, "bucket long, r binary, l binary")
+    inner = materialize(inner, "splitters").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("c2", "c1"), F.lit(salts)).cast("int"))
+    return dealt.groupBy("bucket", "salt").cogroup(inner.groupBy("bucket", "salt")).applyInArrow(place, SUFFIXES + ", bucket long")
 
 
 def repeated_intervals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -345,13 +396,12 @@ def repeated_intervals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     strings repeat) or offsets (those that do).
     """
     grams = gram_rows(docs)
-    # Stored, so that a frequent k-gram's rows can be split in the join.
-    twice = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("gram").alias("g")), "grams")
-    spots = grams.join(twice, grams["gram"] == twice["g"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set("spot").alias("spots"))
+    twice = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
+    spots = split_join(grams, twice, ["gram"], "n").groupBy("doc_id", "th").agg(F.collect_set("spot").alias("spots"))
     spots = materialize(spots, "anchors")
-    release_scratch(docs.sparkSession, "grams")
+    discard(twice)
     texts = materialize(docs.join(spots, same_row(docs, spots)).select(docs["doc_id"], docs["th"], docs["text"], "spots"), "candidates")
-    release_scratch(docs.sparkSession, "anchors")
+    discard(spots)
     stored = materialize(context_rows(texts.select("doc_id", "th", "text", "spots")), "contexts")
     # r tells the occurrences of a context apart.
     contexts = stored.select(
@@ -364,17 +414,17 @@ def repeated_intervals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     chosen = texts.join(picked, same_row(texts, picked)).select(texts["text"], "picks")
     distinct = materialize(suffix_rows(chosen).dropDuplicates(["c1", "c2"]), "suffixes")
-    dealt, splitters = deal_suffixes(distinct, distinct.count())
-    marks = materialize(dealt.groupBy("bucket").applyInArrow(find_repeats(splitters), "c1 long, c2 long, d int, key binary"), "marks")
-    release_scratch(docs.sparkSession, "suffixes")
+    discard(classes)
+    rows = distinct.count()
+    marks = materialize(deal_suffixes(distinct, rows).groupBy("bucket").applyInArrow(find_repeats(rows > BUCKET_ROWS), MARKS), "marks")
+    discard(distinct)
     across = marks.where("key IS NOT NULL")
-    shared = across.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"))
-    offsets = marks.where("key IS NULL").select("c1", "c2", "d").union(across.join(shared, across["key"] == shared["k"], "left_semi").select("c1", "c2", "d"))
-    offsets = offsets.groupBy("c1", "c2").agg(F.collect_set("d").alias("offsets"))
-    found = (
-        contexts.join(classes.select("c1", "c2", (F.col("n") > 1).alias("all")), ["c1", "c2"])
-        .join(offsets, ["c1", "c2"], "left").where("all OR offsets IS NOT NULL")
-        .select("doc_id", "th", "spot", "first", "last", "all", F.when(~F.col("all"), F.col("offsets")).alias("offsets"))
+    shared = across.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    offsets = marks.where("key IS NULL").drop("key").union(across.join(shared, "key", "left_semi").drop("key"))
+    offsets = materialize(offsets.groupBy("c1", "c2").agg(F.max("n").alias("n"), F.collect_set("d").alias("offsets")), "offsets")
+    every = F.array_contains("offsets", -1)
+    found = split_join(contexts, offsets, ["c1", "c2"], "n").select(
+        "doc_id", "th", "spot", "first", "last", every.alias("all"), F.when(~every, F.col("offsets")).alias("offsets")
     )
     return texts, found
 
@@ -414,7 +464,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in portions(batches, 2):
             removed, spans, kept, digests = [], [], [], []
             row, first, stop = intervals(batch.column(3))
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))

@@ -1,43 +1,46 @@
 """Edit-aware token counts.
 
-A document keeps its pre-tokens' lengths and token counts in blocks, with a
-segment tree of sums over the blocks. An edit finds its place by descending the
-tree, re-splits the text from a little before the edit until a split falls on
-an old one behind the edit, re-encodes those pre-tokens only, and updates the
-sums on the blocks' paths.
+``build_trees`` stores, for each document, its pre-tokens' lengths and token
+counts; that table is kept, and ``apply_edits`` applies edits that come later to
+it and gives the trees after them, which can be stored and edited again. A
+loaded tree holds its pre-tokens in blocks with a segment tree of sums over the
+blocks. An edit finds its place by descending the tree, re-splits the text from a
+little before the edit until a split falls on an old one behind the edit,
+re-encodes those pre-tokens only, and updates the sums on the blocks' paths.
 
 Cases: null text counts as empty and null edits as none; an edit's position
 and length are clamped to the text, a null position, length or insert counts as
-0, 0 and ''; texts outside the encoder's safe alphabet are counted whole after
-every edit; an empty table gives no rows; repeated rows and null ids give a row
-each; other columns are ignored.
+0, 0 and ''; texts of any alphabet and added tokens are edited alike; very long
+texts too; tokenizers that change the text before they split it are counted whole
+after every edit; an empty table gives no rows; repeated rows and null ids give a
+row each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions
 from .tokens import Encoder, encoder
 
 BLOCK = 64
-#: How far past its end a pre-token's match can look ("'ll" and the look-ahead after white space).
-REACH = 3
 
 
 class CountTree:
     """Pre-token lengths and counts of one text, with sums over blocks in a segment tree."""
 
-    def __init__(self, text: str, enc: Encoder):
+    def __init__(self, text: str, enc: Encoder, words: list[tuple[int, int]] | None = None):
         self.text, self.enc = text, enc
         self.encoded = 0
-        self._build()
+        self.whole = enc.pattern is None or enc.lower
+        self._build(self._split() if words is None else words)
 
-    def _build(self) -> None:
-        words = self._whole()
+    def _build(self, words: list[tuple[int, int]]) -> None:
         self.blocks = [words[i : i + BLOCK] for i in range(0, len(words), BLOCK)] or [[]]
         self.leaves = 1 << (len(self.blocks) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.leaves), [0] * (2 * self.leaves)
@@ -47,18 +50,32 @@ class CountTree:
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
 
-    def _whole(self) -> list[tuple[int, int]]:
+    def _split(self) -> list[tuple[int, int]]:
         """(characters up to the next split, token count) of all pre-tokens."""
-        words = None if self.enc.lower or self.enc.pattern is None or self.enc.unsafe(self.text) else self.enc.pattern.findall(self.text)
-        self.safe = words is not None
-        if words is None:
+        if self.whole:
             return [(len(self.text), len(self.enc.tokenizer.encode(self.text, add_special_tokens=False).ids))] if self.text else []
-        return list(zip(map(len, words), self.enc.count(words)))
+        pieces = self.enc.pieces(self.text)
+        return list(zip(map(len, pieces), self.enc.counts(pieces)))
 
     @property
     def total(self) -> int:
         return self.tokens[1]
 
+    @property
+    def n_words(self) -> int:
+        return sum(map(len, self.blocks))
+
+    def dump(self) -> bytes:
+        """Lengths and counts in the narrowest of 1, 2 or 4 bytes, which the first byte tells."""
+        flat = np.array([x for b in self.blocks for w in b for x in w], np.uint32)
+        size = 1 if not len(flat) or flat.max() < 1 << 8 else 2 if flat.max() < 1 << 16 else 4
+        return bytes([size]) + flat.astype(f"<u{size}").tobytes()
+
+    @classmethod
+    def load(cls, text: str, data: bytes, enc: Encoder) -> "CountTree":
+        flat = np.frombuffer(data, f"<u{data[0]}", offset=1).tolist()
+        return cls(text, enc, list(zip(flat[::2], flat[1::2])))
+
     def _block_at(self, position: int) -> tuple[int, int]:
         """The block that holds a character position, and the block's first position."""
         node, before = 1, 0
@@ -83,39 +100,37 @@ class CountTree:
         delete = min(max(0, delete), len(self.text) - position)
         old_end, grown = position + delete, len(insert) - delete
         self.text = self.text[:position] + insert + self.text[old_end:]
-        if not self.safe or self.enc.unsafe(insert):
-            self._build()
-            self.encoded += sum(map(len, self.blocks))
+        if self.whole:
+            self._build(self._split())
+            self.encoded += self.n_words
             return
-        # Start at the first pre-token whose match could see the edit.
-        first, start = self._block_at(max(0, position - REACH - 1))
+        # Start at the first pre-token that could depend on the edit.
+        reach = self.enc.reach
+        first, start = self._block_at(max(0, position - reach - 1))
         i = 0
         words = self.blocks[first]
-        while i < len(words) and start + words[i][0] + REACH <= position:
+        while i < len(words) and start + words[i][0] + reach <= position:
             start += words[i][0]
             i += 1
         kept, last, old, j = words[:i], first, start, i
         new: list[str] = []
         at = start
-        if at < len(self.text):
-            for m in self.enc.pattern.finditer(self.text, at):
-                new.append(m.group())
-                at = m.end()
-                while old + grown < at or old < old_end:  # the old split at or behind this one
-                    while j >= len(self.blocks[last]) and last + 1 < len(self.blocks):
-                        last, j = last + 1, 0
-                    if j >= len(self.blocks[last]):
-                        break
-                    old += self.blocks[last][j][0]
-                    j += 1
-                if old >= old_end and old + grown == at:
+        for piece in self.enc.pieces_from(self.text, at):
+            new.append(piece)
+            at += len(piece)
+            while old + grown < at or old < old_end:  # the old split at or behind this one
+                while j >= len(self.blocks[last]) and last + 1 < len(self.blocks):
+                    last, j = last + 1, 0
+                if j >= len(self.blocks[last]):
                     break
-            else:
-                last, j = len(self.blocks) - 1, len(self.blocks[-1])
+                old += self.blocks[last][j][0]
+                j += 1
+            if old >= old_end and old + grown == at:
+                break
         else:
             last, j = len(self.blocks) - 1, len(self.blocks[-1])
         self.encoded += len(new)
-        words = kept + list(zip(map(len, new), self.enc.count(new)))
+        words = kept + list(zip(map(len, new), self.enc.counts(new)))
         if last == first:
             self._set(first, words + self.blocks[first][j:])
         else:
@@ -125,44 +140,60 @@ class CountTree:
                 self._set(b, [])
             self._set(last, tail)
         if len(self.blocks[first]) > 8 * BLOCK:  # rebalance; counts are kept, nothing is encoded
-            flat = [w for b in self.blocks for w in b]
-            self._rebuild(flat)
+            self._build([w for b in self.blocks for w in b])
 
-    def _rebuild(self, flat: list[tuple[int, int]]) -> None:
-        whole, self._whole = self._whole, lambda: flat
-        self._build()
-        self._whole = whole
 
+def build_trees(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text (null as empty), n_tokens, n_pretokens, tree: to be stored, and edited later."""
 
-def count_edited(docs: DataFrame, tokenizer: str, edits: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_pretokens, n_edits, n_reencoded, n_tokens_edited, n_chars_edited.
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        for batch in portions(batches, 1):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            trees = [CountTree(t, enc) for t in texts]
+            sizes = [pa.array([t.total for t in trees], pa.int64()), pa.array([t.n_words for t in trees], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *sizes, pa.array([t.dump() for t in trees], pa.binary())], ["doc_id", "text", "n_tokens", "n_pretokens", "tree"])
 
-    ``edits``: an array<struct<position int, delete int, insert string>> over
-    characters (code points), applied in order. n_reencoded: the pre-tokens
-    encoded again by all edits of the document.
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    return rows.mapInArrow(task, "doc_id long, text string, n_tokens long, n_pretokens long, tree binary")
+
+
+def apply_edits(trees: DataFrame, tokenizer: str, keep: bool = True) -> DataFrame:
+    """doc_id, n_tokens, n_pretokens, n_edits, n_reencoded, n_tokens_edited, n_pretokens_edited, n_chars_edited; with ``keep`` also text and tree after the edits.
+
+    ``trees``: a table of build_trees() with ``edits``, an array<struct<position
+    int, delete int, insert string>> over characters (code points), applied in
+    order. n_reencoded: the pre-tokens encoded again by all edits of the document.
     """
-    fields = ["doc_id", "n_tokens", "n_pretokens", "n_edits", "n_reencoded", "n_tokens_edited", "n_chars_edited"]
+    fields = ["doc_id", "n_tokens", "n_pretokens", "n_edits", "n_reencoded", "n_tokens_edited", "n_pretokens_edited", "n_chars_edited"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
-            rows = []
-            for doc_id, text, script in zip(*(c.to_pylist() for c in batch.columns)):
-                tree = CountTree(text or "", enc)
-                n, words = tree.total, sum(map(len, tree.blocks))
+        for batch in portions(batches, 1):
+            rows, after = [], []
+            for doc_id, text, n, words, data, script in zip(*(c.to_pylist() for c in batch.columns)):
+                tree = CountTree.load(text, data, enc)
                 for e in script or []:
                     if e is not None:
                         tree.edit(e["position"] or 0, e["delete"] or 0, e["insert"] or "")
-                rows.append((doc_id, n, words, len(script or []), tree.encoded, tree.total, len(tree.text)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], fields)
+                rows.append((doc_id, n, words, len(script or []), tree.encoded, tree.total, tree.n_words, len(tree.text)))
+                after.append((tree.text, tree.dump()) if keep else None)
+            columns = [pa.array(list(c), pa.int64()) for c in zip(*rows)]
+            if keep:
+                columns += [pa.array([a[0] for a in after], pa.string()), pa.array([a[1] for a in after], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, fields + ["text", "tree"] * keep)
+
+    rows = trees.select("doc_id", "text", "n_tokens", "n_pretokens", "tree", "edits")
+    return rows.mapInArrow(task, ", ".join(f"{f} long" for f in fields) + ", text string, tree binary" * keep)
+
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), edits.alias("edits"))
-    return rows.mapInArrow(task, ", ".join(f"{f} long" for f in fields))
+def edited_trees(edited: DataFrame) -> DataFrame:
+    """The trees after apply_edits(), in the form that build_trees() gives them."""
+    return edited.select("doc_id", "text", F.col("n_tokens_edited").alias("n_tokens"), F.col("n_pretokens_edited").alias("n_pretokens"), "tree")
 
 
 def attach_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with an ``edits`` array from a table (id, seq, position, delete, insert), in seq order."""
+    """``docs`` or trees with an ``edits`` array from a table (id, seq, position, delete, insert), in seq order."""
     script = F.array_sort(F.collect_list(F.struct("seq", "position", "delete", "insert")))
     lists = edits.groupBy(F.col(id_col).alias("__edit_id")).agg(
         F.transform(script, lambda e: F.struct(e["position"].alias("position"), e["delete"].alias("delete"), e["insert"].alias("insert"))).alias("edits")

@@ -11,8 +11,9 @@ a temporary name and renames it, so a repeated task replaces the same file.
 Files go through pyarrow's file systems, by the URI of the shared folder.
 
 Cases: null text encodes like the empty text (the end id alone); null ids come
-first; equal ids are ordered by text; an empty table writes no documents; other
-columns are ignored. ``start`` counts the ids of all documents before, over all
+first; rows of one id are ordered by the first characters of their text and then
+by its hash, and may fill any number of files; very long texts pass in blocks; an
+empty table writes no documents; other columns are ignored. ``start`` counts the ids of all documents before, over all
 files.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import materialize, portions, scratch_path
 from .tokens import encoder
 
 BLOCK, MAGIC = 65_536, b"LSTOKEN1"
@@ -146,7 +147,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         final, temp = f"{root}/part-{part:06d}.tok", f"{root}/.{uuid.uuid4().hex}"
         with fs.open_output_stream(temp) as out:
             writer = Writer(out, width(max(enc.size, end_id + 1)))
-            for batch in batches:
+            for batch in portions(batches, 1):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(texts)):
                     writer.add(doc_id, np.append(ids, np.uint32(end_id)).astype("<u4"))
@@ -158,7 +159,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         )
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # An id may have any part of all rows; equal rows may go anywhere, so they stay apart by where they come from.
+    rows = rows.withColumns({"head": F.substring("text", 1, 24), "th": F.xxhash64("text"), "source": F.spark_partition_id()})
+    rows = rows.repartitionByRange("doc_id", "head", "th", "source").sortWithinPartitions("doc_id", "head", "th").select("doc_id", "text")
     return materialize(rows.mapInArrow(task, "file string, part int, n_docs long, n_tokens long"), "token-manifest")
 
 

@@ -2,7 +2,8 @@
 
 BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in
 order. Pre-tokens repeat a lot; each worker has the library's BPE model encode a
-new one once. Texts with
+new one once. Texts are cut at the tokenizer's added tokens first, which stand
+for themselves wherever their text occurs, as in the library. Texts with
 characters outside a safe alphabet, where Python's and the library's Unicode
 tables could disagree or normalization reaches across pre-tokens, are encoded
 whole by the library.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 from struct import pack as pack_ids
 
@@ -31,9 +33,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        self.most, self.cache = most, {}
+        self.most, self.cache, self.sizes = most, {}, {}
         self.unsafe = regex.compile(UNSAFE).search
         self.lower = False
         pattern = None
@@ -47,34 +48,75 @@ class Encoder:
             kinds = [n.get("type") for n in (norm or {}).get("normalizers", [])]
             if kinds == ["NFC", "Replace", "Lowercase"]:
                 pattern, self.lower = parts[0]["pattern"]["Regex"], True
+        added = spec.get("added_tokens") or []
+        self.added = {t["content"]: t["id"] for t in added}
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            pattern = None  # these reach beyond their own text
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
+        #: How far from a place in a text its pre-tokens can depend on it: "'ll", white space before a word, added tokens.
+        self.reach = max(3, *map(len, self.added), 3)
         self.pattern = regex.compile(pattern) if pattern else None
 
-    def splits(self, text: str) -> list[str] | None:
-        """The pre-tokens of a text of the safe alphabet, else None."""
-        if self.pattern is None or self.unsafe(text):
-            return None
-        return self.pattern.findall(text.lower() if self.lower else text)
+    def holds_added(self, text: str) -> bool:
+        return any(t in text for t in self.added)
 
     def chunks(self, text: str) -> list[str] | None:
         """The text cut at white space, where pre-tokens always end too; None if the library must encode it whole."""
         if self.pattern is None or self.unsafe(text):
             return None
+        if self.holds_added(text):
+            parts = self.cut(text)
+            return [c for i, p in enumerate(parts) for c in (["\0" + p] if i % 2 else self._chunks(p))]  # no safe text holds \0
+        return self._chunks(text)
+
+    def _chunks(self, text: str) -> list[str]:
         if self.lower:
             return text.lower().split()
         if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or "\t" in text or "\r" in text:
             return self.pattern.findall(text)  # how a run of white space is cut depends on what follows
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
+    def pieces(self, text: str) -> list[str]:
+        """All pre-tokens and added tokens, which joined are the text; for tokenizers that keep it as it is."""
+        if self.holds_added(text):
+            return [w for i, p in enumerate(self.cut(text)) for w in ([p] if i % 2 else self._pieces(p))]
+        return self._pieces(text)
+
+    def _pieces(self, text: str) -> list[str]:
+        if not self.unsafe(text):
+            return self.pattern.findall(text)
+        return [text[i:j] for _, (i, j) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def pieces_from(self, text: str, at: int, step: int = 128) -> Iterator[str]:
+        """The pieces from ``at`` on, where one begins, without a look at the whole text."""
+        while at < len(text):
+            window = text[at : at + step]
+            exact = len(window) - (self.reach if at + step < len(text) else 0)
+            end = 0
+            for piece in self.pieces(window):
+                if end + len(piece) > exact:
+                    break
+                end += len(piece)
+                yield piece
+            at += end
+            step = min(step * (2 if end else 4), 1 << 24 if end else len(text))
+
     def learn(self, chunks: set[str]) -> None:
         new = [c for c in chunks if c not in self.cache]
         if len(self.cache) + len(new) > self.most:
             self.cache.clear()
             new = chunks
-        model, table, find = self.tokenizer.model.tokenize, BYTE_CHARS, self.pattern.findall
+        find = self.pattern.findall
         for c in new:
-            words = [c] if c.isalpha() or (c[:1] == " " and c[1:].isalpha()) else find(c)
-            ids = [t.id for w in words for t in model(w.encode().decode("latin-1").translate(table))]
-            self.cache[c] = pack_ids(f"<{len(ids)}I", *ids)
+            if c[:1] == "\0":
+                self.cache[c] = pack_ids("<I", self.added[c[1:]])
+            else:
+                ids = [i for w in ([c] if c.isalpha() or (c[:1] == " " and c[1:].isalpha()) else find(c)) for i in self.model(w)]
+                self.cache[c] = pack_ids(f"<{len(ids)}I", *ids)
+
+    def model(self, word: str) -> list[int]:
+        """The ids of one pre-token."""
+        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
@@ -96,10 +138,14 @@ class Encoder:
             start = end
         return out
 
-    def count(self, words: list[str]) -> list[int]:
-        self.learn(set(words))  # pre-tokens are chunks of their own
-        get = self.cache.__getitem__
-        return [len(get(w)) >> 2 for w in words]
+    def counts(self, pieces: list[str]) -> list[int]:
+        """Tokens of each piece of pieces()."""
+        if len(self.sizes) > self.most:
+            self.sizes.clear()
+        sizes = self.sizes
+        for p in set(pieces).difference(sizes):
+            sizes[p] = 1 if p in self.added else len(self.model(p))
+        return list(map(sizes.__getitem__, pieces))
 
 
 @lru_cache(maxsize=2)

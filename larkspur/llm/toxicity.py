@@ -1,22 +1,30 @@
-"""Toxicity: a subsequence string-kernel SVM with Nystrom landmarks.
+"""Toxicity: a subsequence string-kernel SVM with Nystrom landmarks, trained on labelled sentences.
 
 The kernel compares two words by their common subsequences of three characters,
 each discounted by the width it spans (decay ** width, at most SPAN wide), so
-gapped and inserted characters cost little. A document is a bag of words from
-its sentences; words split by single spaces into letters are joined first.
-
-Training (on labelled documents, a bounded sample): landmark words are chosen
-from the labelled sentences, words map into the landmarks' Nystrom space, and a
-linear SVM is trained on witnesses: of each toxic document the word that scores
-highest so far, against words of the clean ones, for a few rounds. The model of
+gapped and inserted characters cost little. A sentence is a bag of words, and two
+sentences are as alike as their most alike words; words split by single spaces
+into letters are joined first.
+
+Training, on labelled documents (a bounded sample): every sentence of a clean
+document is labelled 0. A toxic document's sentences have no labels of their own:
+those are labelled 1 that hold a word which scores as toxic so far, its best one
+at least, and the others stay out. Landmark words are chosen from the labelled
+sentences, words map into the landmarks' Nystrom space, and a linear SVM is
+trained on the best words of sentences labelled 1 against words of sentences
+labelled 0; then the sentences are labelled anew, for a few rounds. The model of
 a word is linear in its subsequence counts, so scoring needs a table lookup per
-subsequence and no kernel evaluations. A document's score is a logistic function
-of its best word's, fitted on the training documents.
+subsequence and no kernel evaluations. A sentence scores as its best word and a
+document as its best sentence, through a logistic function fitted on the training
+documents.
 
 Cases: null and empty texts and texts without letters get the score of a bag
-without words (clean); labels of unknown documents, null labels and null ids are
-ignored; with only one class in the sample all scores are that class's; an empty
-table gives no rows; repeated rows get a row each; other columns are ignored.
+without words (clean), labelled or not, and teach nothing; labels of unknown
+documents, null labels and null ids are ignored; an id with several labels is
+toxic if one says so, and of several texts with one labelled id the one with the
+least hash is used; with only one class in the sample all scores are that
+class's; very long texts count whole; an empty table gives no rows; repeated rows
+get a row each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample, keyed, materialize, portions
+
 DECAY, SPAN = 0.7, 5
 #: Table of hashed subsequences, as a power of two.
 TABLE = 1 << 18
@@ -48,6 +58,8 @@ CORE = re.compile(r"[^\W\d_].*[^\W\d_]", re.S)
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?!\S)")
 #: Characters besides letters that training inserts in words.
 INSERTED = "0123456789_.-*'"
+#: Where a sentence ends.
+ENDS = re.compile(r"(?<=[.!?])\s+|\n+")
 OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 
 
@@ -78,8 +90,15 @@ def words(text: str | None) -> list[str]:
     return sorted({w for token in tokens(text) for w in parts(token)})
 
 
+def sentences(text: str | None) -> list[list[str]]:
+    """The words of each sentence that has some."""
+    return [ws for ws in map(words, ENDS.split(text or "")) if ws]
+
+
 def subsequences(ws: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, table slot, weight) of every subsequence of three characters, words padded by one blank on each side."""
+    if not ws:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     lengths = np.array([len(w) + 2 for w in ws])
     codes = np.frombuffer("".join(f" {w} " for w in ws).encode("utf-32-le"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(ws)), lengths)
@@ -171,9 +190,14 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
     y = np.array(toxic)
     if len(set(toxic)) < 2:
         return Model(bias=1.0 if len(y) and y[0] == 1 else -1.0, slope=5.0)
-    bags = [words(t) for t in texts]
+    split = [sentences(t) for t in texts]
+    bags = [sorted(set().union(*x)) for x in split]
     bad_bags = [b for b, t in zip(bags, toxic) if t and b]
-    # First witnesses: the word whose trigrams are most typical of toxic documents.
+    bad_sentences = [x for x, t in zip(split, toxic) if t and x]  # by document
+    clean_words = sorted({w for b, t in zip(bags, toxic) if not t for w in b})
+    if not bad_bags or not clean_words:
+        return Model(bias=-1.0, slope=5.0)
+    # First labels: by the word whose trigrams are most typical of toxic documents.
     counts = np.zeros((2, TABLE))
     for b, t in zip(bags, toxic):
         counts[t, np.unique(trigrams(b)[1])] += 1
@@ -181,11 +205,11 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
     odds = np.log((counts[1] + 0.5) / (n1 + 1)) - np.log((counts[0] + 0.5 * n0 / n1) / (n0 + 1))
     odds = np.clip(odds, -1, 4) * np.minimum(1, counts[1] / 4)
     in_bad, in_clean = Counter(w for b in bad_bags for w in b), Counter(w for b, t in zip(bags, toxic) if not t for w in b)
-    # All words of a clean document are clean: a witness is rare there, for its share of toxic ones.
+    # All words of a sentence labelled 0 are clean: a toxic word is rare there, for its share of toxic documents.
     able = {w for w, c in in_bad.items() if c * n0 > 8 * in_clean[w] * n1 and len(w) > 2}
     first = dict(zip(ws := sorted(able), typical(ws, odds))) if able else {}
-    witness = [[max((w for w in b if w in able), key=lambda w: (first[w], w))] for b in bad_bags if any(w in able and first[w] > 0.3 for w in b)]
-    clean_words = sorted({w for b, t in zip(bags, toxic) if not t for w in b})
+    best = [max((w for w in s if w in able), key=lambda w: (first[w], w), default=None) for x in bad_sentences for s in x]
+    witness = [[w] for w in best if w is not None and first[w] > 0.3]  # of sentences labelled 1
     clean = [clean_words[i] for i in rng.permutation(len(clean_words))[:8000]]
     hard = [clean_words[i] for i in np.argsort(-typical(clean_words, odds), kind="stable")[:1500]]
     able_words = sorted(able)
@@ -232,13 +256,17 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
         model.table[used] = phi.T @ (whiten @ w)
         scores = {w: v for i in range(0, len(able_words), 5000) for w, v in zip(able_words[i : i + 5000], model.word_scores(able_words[i : i + 5000]))}
         witness = []
-        for b in bad_bags:
-            best = sorted((v for v in b if v in able), key=lambda v: (-scores[v], v))[:3]
-            witness.append([v for v in best if scores[v] > 0] or [v for v in best[:1] if scores[v] > -0.7])
+        for sentence_bags in bad_sentences:
+            best = [sorted((v for v in s if v in able), key=lambda v: (-scores[v], v))[:3] for s in sentence_bags]
+            labelled = [found for s in best if (found := [v for v in s if scores[v] > 0])]
+            top = max((s[0] for s in best if s), key=lambda v: (scores[v], v), default=None)
+            witness += labelled or ([[top]] if top is not None and scores[top] > -0.7 else [])
+        if not witness:
+            break
         s0 = np.concatenate([model.word_scores(clean_words[i : i + 5000]) for i in range(0, len(clean_words), 5000)])
         hard = list(dict.fromkeys(hard + [clean_words[i] for i in np.argsort(-s0, kind="stable")[:1000]]))
     best = np.array([model.word_scores(b).max() if b else NOTHING for b in bags])
-    # One threshold on the bag's best word: the fewest balanced errors, then a logistic slope around it.
+    # One threshold on the best word of the best sentence: the fewest balanced errors, then a logistic slope around it.
     order = np.unique(best)
     cuts = (order[1:] + order[:-1]) / 2 if len(order) > 1 else order
     wrong = [((best > c) != (y == 1)).sum() for c in cuts]
@@ -249,13 +277,15 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
 
 def training_rows(docs: DataFrame, labels: DataFrame, use: Column | None, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
     """A bounded sample of labelled documents (d_id, text, y), the same for the same rows: least hashes of ids first."""
-    rows = labels.select(labels[id_col].alias("l_id"), labels[label_col].alias("y")).where("l_id IS NOT NULL AND y IS NOT NULL").dropDuplicates(["l_id"])
+    rows = labels.select(labels[id_col].cast("long").alias("l_id"), labels[label_col].cast("int").alias("y")).where("l_id IS NOT NULL AND y IS NOT NULL")
     if use is not None:
         rows = rows.where(use)
-    picked = rows.orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
-    texts = docs.select(docs[id_col].cast("long").alias("d_id"), docs[text_col].alias("text"))
-    joined = texts.join(F.broadcast(picked), F.col("d_id") == F.col("l_id"))
-    return joined.select("d_id", "text", F.col("y").cast("int").alias("y")).limit(2 * sample)
+    rows = materialize(rows.groupBy("l_id").agg(F.max("y").alias("y")), "labels")
+    picked = hash_sample(rows, rows.count(), 2 * sample, "l_id").orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
+    texts = docs.select(docs[id_col].cast("long").alias("l_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    # At most ``sample`` rows are broadcast, and as many texts are left.
+    joined = texts.join(F.broadcast(picked), "l_id").groupBy("l_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("t"))
+    return joined.select(F.col("l_id").alias("d_id"), F.col("t.text").alias("text"), (F.col("y") > 0).cast("int").alias("y"))
 
 
 def fit(rows: DataFrame) -> Model:
@@ -274,11 +304,9 @@ def fit(rows: DataFrame) -> Model:
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th, score (0 to 1)."""
-    from .common import keyed
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for batch in batches:
+        for batch in portions(batches, 2):
             bags = [tokens(t) for t in batch.column(2).to_pylist()]
             if len(known) > 400_000:
                 known.clear()

@@ -93,7 +93,6 @@ def token_ids(texts, tokenizer, end_id):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
     return [[*e.ids, end_id] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -110,6 +109,15 @@ def media(docs, width=576):
     return out
 
 
+def average_hash(text, width=576):
+    data = raw(text)
+    data += b"\xff" * (max(1, -(-len(data) // width)) * width - len(data))
+    cuts = [i * len(data) // 64 for i in range(65)]
+    means = [sum(data[i:j]) / (j - i) for i, j in zip(cuts, cuts[1:])]
+    bits = "".join("1" if m > sum(means) / 64 else "0" for m in means)
+    return f"ahash:{int(bits, 2):016x};mean:{sum(data) / len(data):.4f}"
+
+
 def url_verdict(url, rules):
     if url is None or "://" not in url:
         host = path = ""

@@ -1,7 +1,7 @@
 """Small tables with nulls, empty and long texts, ties, repeated rows and clashing column names, against brute force."""
 
+import hashlib
 import random
-import zlib
 
 import pytest
 
@@ -24,6 +24,8 @@ def table():
     docs += [(60, long), (61, long), (62, long.replace(" ", "  ", 3)), (63, None), (64, ""), (65, "  \t\n"), (66, "ÉÀ İ. ＡＢ 中文 " * 40), (67, "a" * 900)]
     docs += [(70, f"{prose(9)} {item} {prose(9)}"), (71, " ".join(item.split()[:14])), (72, f"{prose(400)} {item}"), (73, "Solo")]
     docs += [(80, docs[3][1]), (80, docs[3][1]), (81, docs[3][1] + " x")]
+    docs += [(90, "hello <|endoftext|> world  <|endoftext|><|startoftext|>end <|ENDOFTEXT|> <|endof"), (91, f"中文 <|endoftext|>é {item}\n<|startoftext|>")]
+    docs += [(None, prose(30)), (None, prose(40)), (None, docs[3][1]), (None, None)]
     return docs, [(0, item), (1, "solo"), (2, None), (3, "... !!"), (None, item), (4, prose(20))]
 
 
@@ -62,6 +64,56 @@ def test_suffix_buckets(docs, monkeypatch):
     assert rows(suffix_dedup.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.suffix_dedup(DOCS), key=repr)
 
 
+@pytest.mark.parametrize("level", [2, 5])
+def test_suffix_levels(docs, monkeypatch, level):
+    """Splitters of a second level, found in tasks."""
+    from larkspur.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(suffix_dedup, "LEVEL", level)
+    assert rows(suffix_dedup.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.suffix_dedup(DOCS), key=repr)
+
+
+def test_multikey_quicksort():
+    import numpy as np
+
+    from larkspur.llm.suffix_dedup import multikey_quicksort, padded_words
+
+    rng = random.Random(4)
+    for n, letters in ((0, b"ab"), (1, b"ab"), (2, b"a"), (700, b"ab"), (3000, bytes(range(256)))):
+        strings = [bytes(rng.choice(letters) for _ in range(rng.choice([0, 3, 8, 9, 40]))) for _ in range(n)]
+        strings += [s + b"\0" for s in strings[:50]]
+        keys = padded_words(strings, 48) if strings else np.zeros((0, 7), ">u8")
+        assert [strings[i] for i in multikey_quicksort(keys)] == sorted(strings)
+
+
+def test_split_join(spark):
+    """Frequent keys meet in pieces; every row stays, with and without a partner."""
+    from larkspur.llm.common import split_join
+
+    left = spark.createDataFrame([(i, i % 7 if i % 2 else 0) for i in range(600)] + [(900, None), (901, 99)], "x int, k int")
+    table = left.where("k IS NOT NULL AND k <> 99").groupBy("k").count()
+    for how in ("inner", "left"):
+        got = split_join(left, table, ["k"], "count", how, least=5)
+        assert rows(got, "x", "k", "count") == rows(left.join(table, "k", how), "x", "k", "count")
+
+
+def test_scratch_of_one_owner(spark, docs):
+    """A lazy result outlives other work's deletion of its own tables."""
+    from larkspur.llm.common import Scratch, discard, materialize
+
+    lazy = materialize(docs, "mine")
+    with Scratch(spark) as own:
+        other = materialize(docs, "other")
+        third = materialize(docs, "third")
+    assert own.serves(other.select("doc_id")) and not own.serves(lazy)
+    discard(third)
+    own.release()
+    assert lazy.count() == len(DOCS) and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+    with pytest.raises(Exception):
+        other.count()
+
+
 def test_simhash(docs, none):
     from larkspur.llm.simhash import near_duplicates, near_fingerprints
 
@@ -153,6 +205,14 @@ def test_crowds_take_few_pairs():
         assert seen < 1000 * len(fp)
 
 
+def test_null_ids_stay_apart(spark):
+    """Different texts with null ids are different components."""
+    from larkspur.llm.simhash import near_duplicates
+
+    texts = [(None, prose(30)), (None, prose(30)), (None, None), (5, prose(30))]
+    assert len({r["component"] for r in near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}) == 4
+
+
 def test_cells_meet_all_pairs():
     import numpy as np
 
@@ -218,10 +278,15 @@ def test_packing(docs, none):
     want = sorted(brute.token_ids([t for _, t in DOCS], path, 1))
     by_doc = {}
     for r in got:
-        assert zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r["ids"])) == r["ids_crc32"] and len(r["ids"]) == r["length"]
-        by_doc.setdefault((r["doc_id"], r["doc_tokens"]), {})[r["start"]] = r["ids"]
-    joined = sorted(sum((v[s] for s in sorted(v)), []) for v in by_doc.values())
-    assert joined == sorted({tuple(w): w for w, d in zip(brute.token_ids([t for _, t in DOCS], path, 1), DOCS)}.values()) or len(joined) <= len(want)
+        assert brute.crc(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == r["length"]
+        by_doc.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["ids"]))
+    texts = {}
+    for (d, _), ids in zip(DOCS, brute.token_ids([t for _, t in DOCS], path, 1)):
+        texts.setdefault((d, len(ids)), []).append(ids)
+    assert by_doc.keys() == texts.keys()
+    for key, whole in texts.items():  # each id of each document in exactly one piece
+        each = sorted(((s, i) for ids in whole for s, i in enumerate(ids)))
+        assert each == sorted((s + k, i) for s, ids in by_doc[key] for k, i in enumerate(ids)), key
     assert sum(r["length"] for r in got) == sum(map(len, want))
     by_sequence = {}
     for r in got:
@@ -239,11 +304,56 @@ def test_packing(docs, none):
     assert pack_documents(none, path).count() == 0
 
 
+@pytest.mark.parametrize("histogram", [{1100: 1000}, {1100: 7}, {n: 5 for n in range(1025, 2048)}, {2048: 9}, {1: 3}, {2047: 50, 3: 20}, {n: 1 + 3000 // n for n in range(1, 2049)}, {}], ids=lambda h: f"{len(h)}-{max(h, default=0)}")
+def test_packs_are_full(histogram):
+    """Every id of every piece lies in one place, sequences have no gaps, and there are no more than the ids fill."""
+    from larkspur.llm.packing import shortest_pack_first, slots
+
+    found, unfilled = slots(shortest_pack_first(histogram, 2048), 2048)
+    pieces, sequences = {}, {}
+    for length, first, end, at, size, offset, sequence in found:
+        for k in range(end - first):
+            pieces.setdefault((length, first + k), []).append((at, size))
+            sequences.setdefault(sequence + k, []).append((offset, size))
+    assert len(pieces) == sum(histogram.values())
+    for groups, want in ((pieces, lambda k: k[0]), (sequences, lambda k: dict(unfilled).get(k, 2048))):
+        for key, parts in groups.items():
+            end = 0
+            for start, n in sorted(parts):
+                assert start == end and n > 0
+                end += n
+            assert end == want(key)
+    assert sorted(sequences) == list(range(-(-sum(k * n for k, n in histogram.items()) // 2048)))
+
+
+def test_cut_pieces(spark):
+    """Documents of one length over half a sequence, repeated and null ids among them."""
+    from larkspur.llm.packing import pack_documents
+
+    path = P.path("byte_bpe_50k.json")
+    words = [prose(4) for _ in range(30)]
+    texts = [(i if i % 5 else None, f"{words[i % 30]} " + "the " * 1200) for i in range(40)]
+    texts += texts[:6]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted((d is None, d or 0, i, x) for (d, _), ids in zip(texts, brute.token_ids([t for _, t in texts], path, 1)) for i, x in enumerate(ids))
+    for keep in (True, False):
+        got = pack_documents(docs, path, keep_ids=keep).collect()
+        assert len({r["sequence_id"] for r in got}) == -(-len(want) // 2048) and any(r["length"] < 1000 for r in got)
+        if keep:
+            assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["start"] + k, x) for r in got for k, x in enumerate(r["ids"])) == want
+            crcs = sorted((r["doc_id"] or -1, r["start"], r["length"], brute.crc(r["ids"])) for r in got)
+        assert sorted((r["doc_id"] or -1, r["start"], r["length"], r["ids_crc32"]) for r in got) == crcs
+
+
 def test_token_files(docs, none):
+    import xxhash
+
     from larkspur.llm.token_files import token_files
 
     path = P.path("word_bpe_49k.json")
-    ordered = sorted(DOCS, key=lambda d: (d[0], d[1] is not None, d[1] or ""))
+    hashed = lambda t: xxhash.xxh64(t.encode(), 42).intdigest()
+    signed = lambda t: (hashed(t) + 2**63) % 2**64 - 2**63
+    ordered = sorted(DOCS, key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, (d[1] or "")[:24], 42 if d[1] is None else signed(d[1])))
     start, want = 0, []
     for (d, _), ids in zip(ordered, brute.token_ids([t for _, t in ordered], path, 2)):
         want.append((d, start, len(ids), brute.crc(ids)))
@@ -263,13 +373,15 @@ def test_bit_packing(bits):
 
 
 def test_media(docs, none):
-    from larkspur.llm.media import interleaved_documents, parse_html, references, resolve, sequences, store_media
+    from larkspur.llm.media import from_png, interleaved_documents, parse_html, references, resolve, sequences, store_media
 
-    sizes = {d: n for d, n, *_ in brute.media(DOCS)}
     refs = references(sequences(interleaved_documents(docs), "doc_id", "html"))
-    got = resolve(refs, store_media(docs))
-    assert rows(got, "doc_id", "payload_bytes", "payload_sha256", "tail_crc32") == sorted(((d, p, s, c) for d, _, p, s, c in brute.media(DOCS)), key=repr)
-    assert all(r["caption"] == f"{sizes[r['doc_id']]} bytes" for r in refs.collect())
+    assert rows(refs, "doc_id", "caption") == sorted(((d, f"{n} bytes") for d, n, *_ in brute.media(DOCS)), key=repr)
+    stored = store_media(docs)
+    media = {hashlib.sha256(from_png(bytes(m)).tobytes()).hexdigest(): bytes(m) for (m,) in stored.select("media").collect()}
+    want = [(d, p, s, c, len(media[s]), hashlib.sha256(media[s]).hexdigest(), brute.average_hash(t)) for (d, _, p, s, c), (_, t) in zip(brute.media(DOCS), DOCS)]
+    got = resolve(refs, stored)
+    assert rows(got, "doc_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature") == sorted(want, key=repr)
     assert [i["kind"] for i in parse_html("a<img src='digest:x' alt=c>b<p>c")] == ["text", "media", "text", "text"] and parse_html(None) == []
     assert store_media(none).count() == 0
 
@@ -285,6 +397,26 @@ def test_urls(spark):
     assert apply_rules(pages.where("false"), rules_frame(spark, RULES)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_urls_of_many_lengths_and_names(spark, monkeypatch, broadcast):
+    """Rules of 5000 path lengths, a frequent url, a column name of every kind that the operator uses."""
+    from larkspur.llm import url_filter
+
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", broadcast)
+    rules = [("block", "long.net", "/" + "a" * n) for n in range(5000)] + [("allow", "net", "/a")]
+    urls = [f"http://x.long.net/{'a' * n}?q" for n in (0, 1, 50, 4095, 4096, 4097, 4999, 6000)] + ["http://other.net/a"] * 2500 + ["http://none.org/"]
+    names = "id int, u string, n int, c0 int, __rule int, __verdict int, best int, digest int, host int"
+    pages = spark.createDataFrame([(i, u, *[1] * 7) for i, u in enumerate(urls)], names)
+    got = url_filter.apply_rules(pages, url_filter.rules_frame(spark, rules), "u").select("id", F_col("host"), "path", "rule", "verdict")
+    assert sorted(map(tuple, got.collect())) == sorted((i, *brute.url_verdict(u, rules)) for i, u in enumerate(urls))
+
+
+def F_col(name):
+    from pyspark.sql import functions as F
+
+    return F.col(name)
+
+
 def test_toxicity(spark, none):
     from larkspur.llm.toxicity import toxicity
 
@@ -297,6 +429,22 @@ def test_toxicity(spark, none):
     assert toxicity(none, labels).count() == 0
 
 
+def test_toxicity_of_texts_without_words(spark):
+    """Labelled nulls, empty texts and texts without words neither stop nor teach; labels may repeat and disagree."""
+    from larkspur.llm.toxicity import toxicity, train
+
+    rows_ = [(i, prose(20) + (" blorkwit" if i % 4 == 0 else "") + ". " + prose(9)) for i in range(200)]
+    odd = [(900, None), (901, ""), (902, "a b"), (903, "12 !"), (904, None), (None, "blorkwit")]
+    docs = spark.createDataFrame(rows_ + odd + rows_[:3], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(150)] + [(900, 1), (901, 0), (902, 1), (903, 0), (904, 0), (4, 0), (None, 0)], "doc_id long, toxic int")
+    got = [(r["doc_id"], r["score"]) for r in toxicity(docs, labels).collect()]
+    assert len(got) == len(rows_) + len(odd) + 3
+    assert [i for i, s in got if i is not None and i < 900 and (s >= 0.5) != (i % 4 == 0)] == []
+    assert len({s for i, s in got if i is not None and i >= 900}) == 1 and dict(got)[900] < 0.5 <= dict(got)[None]
+    for texts, y in (([None, ""], [1, 0]), (["", "fine words"], [1, 0]), (["bad words", ""], [1, 0]), ([], []), (["bad"], [1])):
+        train(texts, y)
+
+
 def test_toxicity_of_inserted_characters(spark):
     """Digits, underscores and several marks inside an insult, or between all its letters, do not hide it."""
     from larkspur.llm.toxicity import parts, toxicity
@@ -316,19 +464,19 @@ def test_sharding(docs, none):
     from larkspur.llm.sharding import schedule, shard_documents
 
     got = shard_documents(docs, 5).collect()
-    text = dict(DOCS)
     assert sorted(r["size"] for r in got) == sorted(len(brute.raw(t)) + 8 for _, t in DOCS)
     for s in {r["shard"] for r in got}:
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
-    assert len({(text[r["doc_id"]] or "", r["shard"]) for r in got}) == len({t or "" for _, t in DOCS})
+    assert len({(r["text_crc32"], r["shard"]) for r in got}) == len({t or "" for _, t in DOCS})
     assert schedule([(5, "a"), (4, "b"), (3, "c"), (3, "d")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
     assert shard_documents(none, 5).count() == 0
 
 
 def test_token_counts(spark, docs, none):
+    """Stored trees, edited later and again, count as whole texts do, in any alphabet and with added tokens."""
     from pyspark.sql import functions as F
 
-    from larkspur.llm.token_counts import CountTree, attach_edits, count_edited
+    from larkspur.llm.token_counts import CountTree, apply_edits, attach_edits, build_trees, edited_trees
     from larkspur.llm.tokens import Encoder
 
     path = P.path("byte_bpe_50k.json")
@@ -340,25 +488,39 @@ def test_token_counts(spark, docs, none):
         assert tree.total == whole(now)
         for _ in range(12):
             p, d = RNG.randint(0, len(now)), RNG.choice([0, 0, 1, 5, 40, 3000])
-            ins = RNG.choice(["", " ", "x", "'ll", "  \n", " new words here", "\n\n", "é 12", prose(300)])
+            ins = RNG.choice(["", " ", "x", "'ll", "  \n", " new words here", "\n\n", "é 12", prose(300), "中文 字", "<|endoftext|>", "<|endof", "text|>", "🙂🙂"])
+            tree = CountTree.load(tree.text, tree.dump(), enc)
             tree.edit(p, d, ins)
             now = now[:p] + ins + now[min(len(now), p + d) :]
             assert tree.text == now and tree.total == whole(now)
-    edits = spark.createDataFrame([(0, 2, 0, 3, "ab"), (0, 1, None, None, None)], "doc_id long, seq int, position int, delete int, insert string")
-    got = count_edited(attach_edits(docs, edits), path, F.col("edits"))
-    want = {d: whole(t or "") for d, t in DOCS}
-    assert all(r["n_tokens"] == want[r["doc_id"]] for r in got.collect() if r["doc_id"] != 80)
-    assert count_edited(none, path, F.lit(None).cast("array<struct<position int, delete int, insert string>>")).count() == 0
-
-
-def test_pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    docs = corpus_pipeline.table(spark, sf_dir, "documents")
-    seen = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, seen, sf_dir)
-        assert out.columns == docs.columns, name
-        seen = spark.createDataFrame(out.collect(), docs.schema)
-    assert 0 < seen.count() < docs.count()
-    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+            fresh = CountTree(now, enc)
+            assert [w for b in tree.blocks for w in b] == [w for b in fresh.blocks for w in b]
+    edits = spark.createDataFrame([(0, 2, 0, 3, "ab"), (0, 1, None, None, None), (66, 1, 5, 2, "中")], "doc_id long, seq int, position int, delete int, insert string")
+    trees = build_trees(docs, path)
+    first = apply_edits(attach_edits(trees, edits), path)
+    again = apply_edits(attach_edits(edited_trees(first), edits), path)
+    text = dict(DOCS)
+    for r in first.collect():
+        if r["doc_id"] in (0, 66):
+            t = text[r["doc_id"]]
+            assert r["text"] == ("ab" + t[3:] if r["doc_id"] == 0 else t[:5] + "中" + t[7:])
+            assert r["n_tokens"] == whole(t) and r["n_tokens_edited"] == whole(r["text"]) and 0 < r["n_reencoded"] < 20
+    counted = sorted((repr(r["doc_id"]), r["n_tokens_edited"], r["n_tokens_edited"] == whole(r["text"])) for r in again.collect())
+    assert len(counted) == len(DOCS) and all(c[2] for c in counted)
+    assert apply_edits(build_trees(none, path).withColumn("edits", F.lit(None).cast("array<struct<position int, delete int, insert string>>")), path).count() == 0
+
+
+def test_encoder_equals_the_library():
+    """Both tokenizers, texts of all kinds, in one batch and again from the cache."""
+    from larkspur.llm.tokens import Encoder
+
+    texts = [t or "" for _, t in DOCS] + ["<|endoftext|>", " <|endoftext|> ", "a\n<|endoftext|>\n\n b", "x \u00a0y", "İi ǅ ﬁ", "a\tb\r\nc  d", "\0 x", "don't WE'LL I'M"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc, want = Encoder(P.path(name)), brute.token_ids(texts, P.path(name), 7)
+        for _ in range(2):
+            assert [[*map(int, ids), 7] for ids in enc.encode(texts)] == want
+        if not enc.lower:
+            for t in texts:
+                assert "".join(enc.pieces(t)) == t and list(enc.pieces_from(t, 0, 5)) == enc.pieces(t)
+
+
