@@ -21,8 +21,10 @@ The search: a tree over a bounded sample splits the Hamming space
 into shards. At a node, those within the radius of the vantage point go left,
 the others right. A fingerprint has one home; by the triangle inequality a node
 can only cut a pair within ``bits`` if its right one lies at most ``bits``
-beyond the radius, so such rows visit the left side too. A shard builds its own
-tree in the same way and compares exactly in the leaves. It returns a spanning
+beyond the radius, so such rows visit the left side too. A shard of whole
+fingerprints builds its own tree in the same way and compares exactly in the
+leaves; in one of 28-bit blocks a tree prunes next to nothing, so halves of the
+blocks are looked up instead. It returns a spanning
 forest of its links, which keeps every connection without listing the pairs of a
 group; components join the forests.
 
@@ -249,15 +251,60 @@ def dense_pairs(fp: np.ndarray, rows: np.ndarray, most: int, root: np.ndarray, r
     rest.append(rows)
 
 
-def near_pairs(
-    keys: np.ndarray, home: np.ndarray, bits: int, fp: np.ndarray | None = None, most: int = 0, root: np.ndarray | None = None
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows within ``bits``, one at least at home, from a local vantage-point tree.
+def spread(counts: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, k) for each k below counts[i], about ``most`` at a time."""
+    starts = np.cumsum(counts) - counts
+    cuts = np.flatnonzero(np.diff(starts // most)) + 1
+    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(counts)]):
+        part = counts[low:high]
+        yield np.repeat(np.arange(low, high), part), np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
 
-    With ``fp`` and ``root`` (of the forest that takes the pairs), pairs of
-    crowded leaves are within ``most`` instead, and those that add no connection
-    may be missing.
+
+def block_pairs(keys: np.ndarray, width: int, radius: int, fp: np.ndarray, most: int, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows whose keys of ``width`` bits are within ``radius``, 3 at most, but for pairs that connect nothing new in ``root``.
+
+    Of two halves of such keys one differs in at most one bit, so equal halves and
+    those with one bit turned are compared. Rows of one key that are too many
+    for all pairs are a crowd of near copies, within ``most`` on all bits.
     """
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0)) if len(keys) else np.zeros(0, int)
+    values, sizes = keys[order][first], np.diff(np.append(first, len(keys)))
+    later = np.repeat(first + sizes, sizes) - np.arange(len(keys)) - 1
+    later[np.repeat(sizes > LEAF, sizes)] = 0
+    for i, k in spread(later):
+        yield order[i], order[i + k + 1]
+    for g in np.flatnonzero(sizes > LEAF):
+        rest: list[np.ndarray] = []
+        yield from dense_pairs(fp, order[first[g] : first[g] + sizes[g]], most, root, rest)
+        for i, k in spread(np.arange(len(rest[0]))):
+            yield rest[0][i], rest[0][k]
+
+    def rows_of(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own = root[order]
+        low, high = np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
+        new = (low[x] != high[x]) | (low[y] != high[y]) | (low[x] != low[y])  # keys whose rows are not all connected yet
+        x, y = x[new], y[new]
+        for i, k in spread(sizes[x] * sizes[y]):
+            yield order[first[x[i]] + k // sizes[y[i]]], order[first[y[i]] + k % sizes[y[i]]]
+
+    for shift, bits in ((0, width // 2), (width // 2, width - width // 2)):
+        half = ((values >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        by = np.argsort(half, kind="stable")
+        count = np.bincount(half, minlength=1 << bits)
+        start = np.cumsum(count) - count
+        for turned in (0, *(1 << b for b in range(bits))):
+            a = np.flatnonzero((half & turned) == 0)
+            for i, k in spread(count[half[a] ^ turned]):
+                x = a[i]
+                y = by[start[half[x] ^ turned] + k]
+                ok = (np.bitwise_count(values[x] ^ values[y]) <= radius) & ((x < y) | (turned > 0))
+                if ok.any():
+                    yield from rows_of(x[ok], y[ok])
+
+
+def near_pairs(keys: np.ndarray, home: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within ``bits``, one at least at home, from a local vantage-point tree."""
     stack = [(np.flatnonzero(home), np.flatnonzero(~home))]
     while stack:
         inner, outer = stack.pop()
@@ -272,11 +319,6 @@ def near_pairs(
                 stack.append((right, outer[o > r - bits]))
                 continue
         everything = np.concatenate([inner, outer])
-        if fp is not None and len(inner) > 4 * LEAF:
-            rest: list[np.ndarray] = []
-            yield from dense_pairs(fp, everything, most, root, rest)
-            everything = rest[0]
-            inner = everything[home[everything]] if root is not None else inner
         step = max(1, 2_000_000 // max(1, len(everything)))
         for i in range(0, len(inner), step):
             rows = inner[i : i + step]
@@ -342,8 +384,8 @@ def linked(classes: DataFrame, n: int, blocks: int, width: int, radius: int, mos
         root = np.arange(len(fp))
 
         def close() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            crowded = (fp, most, root) if blocks > 1 else ()
-            for a, b in near_pairs(keys, table["home"].to_numpy(), radius, *crowded):
+            pairs = block_pairs(keys, width, radius, fp, most, root) if blocks > 1 else near_pairs(keys, table["home"].to_numpy(), radius)
+            for a, b in pairs:
                 for i in range(0, len(a), 500_000):
                     x, y = a[i : i + 500_000], b[i : i + 500_000]
                     ok = np.bitwise_count(fp[x] ^ fp[y]).sum(1, dtype=np.int32) <= most

@@ -184,7 +184,7 @@ def test_crowds_take_few_pairs():
     """Near copies with one block key are not compared in all pairs, and every connection is found."""
     import numpy as np
 
-    from larkspur.llm.simhash import forest, near_pairs
+    from larkspur.llm.simhash import block_pairs, forest
 
     for n, exact in ((1500, True), (20000, False)):
         fp, seen = crowd(n), 0
@@ -192,7 +192,7 @@ def test_crowds_take_few_pairs():
 
         def pairs():
             nonlocal seen
-            for a, b in near_pairs(fp[:, 0] & np.uint64(2**28 - 1), np.ones(len(fp), bool), 3, fp, 102, root):
+            for a, b in block_pairs(fp[:, 0] & np.uint64(2**28 - 1), 28, 3, fp, 102, root):
                 seen += len(a)
                 ok = np.bitwise_count(fp[a] ^ fp[b]).sum(1) <= 102
                 yield a[ok], b[ok]
@@ -240,6 +240,23 @@ def test_pieces_of_shards(spark, monkeypatch):
     assert {got[i] for i in range(600)} == {0}
 
 
+def test_block_pairs_are_all():
+    """Against all pairs of keys, with many equal ones."""
+    import numpy as np
+
+    from larkspur.llm.simhash import block_pairs, forest
+
+    rng = np.random.default_rng(6)
+    keys = rng.integers(0, 2**28, 1500).astype(np.uint64)
+    for _ in range(3):
+        keys = np.concatenate([keys, keys[rng.integers(0, len(keys), 300)] ^ (np.uint64(1) << rng.integers(0, 28, 300).astype(np.uint64))])
+    fp, root = np.zeros((len(keys), 8), np.uint64), np.arange(len(keys))
+    edges = forest(len(keys), block_pairs(keys, 28, 3, fp, 0, root), root)
+    near = np.bitwise_count(keys[:, None] ^ keys[None]) <= 3
+    assert near[edges[:, 0], edges[:, 1]].all()
+    assert brute.groups(len(keys), edges.tolist()) == brute.groups(len(keys), np.argwhere(np.triu(near, 1)).tolist())
+
+
 def test_vantage_points_prune_exactly():
     import numpy as np
 
