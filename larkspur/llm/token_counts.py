@@ -31,51 +31,68 @@ from .tokens import Encoder, encoder
 BLOCK = 64
 
 
+def split_counts(text: str, enc: Encoder) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and tokens of each pre-token; of the whole text, where the tokenizer changes texts before it splits them."""
+    if enc.pattern is None or enc.lower:
+        found = [(len(text), len(enc.tokenizer.encode(text, add_special_tokens=False).ids))] if text else []
+        return np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
+    pieces = enc.pieces(text)
+    return np.fromiter(map(len, pieces), np.int64, len(pieces)), np.array(enc.counts(pieces), np.int64)
+
+
+def dump(chars: np.ndarray, tokens: np.ndarray) -> bytes:
+    """Both in the narrowest of 1, 2 or 4 bytes, which the first byte tells."""
+    most = int(max(chars.max(initial=0), tokens.max(initial=0)))
+    size = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([size]) + chars.astype(f"<u{size}").tobytes() + tokens.astype(f"<u{size}").tobytes()
+
+
+def load(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    return flat[: len(flat) // 2], flat[len(flat) // 2 :]
+
+
+def sum_tree(leaves: np.ndarray) -> list[int]:
+    """Sums of a binary tree over a power of two of leaves; node n has the children 2 n and 2 n + 1."""
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        levels.append(levels[-1].reshape(-1, 2).sum(1))
+    return [0, *(x for level in reversed(levels) for x in level.tolist())]
+
+
 class CountTree:
     """Pre-token lengths and counts of one text, with sums over blocks in a segment tree."""
 
-    def __init__(self, text: str, enc: Encoder, words: list[tuple[int, int]] | None = None):
+    def __init__(self, text: str, enc: Encoder, counts: tuple[np.ndarray, np.ndarray] | None = None):
         self.text, self.enc = text, enc
         self.encoded = 0
         self.whole = enc.pattern is None or enc.lower
-        self._build(self._split() if words is None else words)
+        self._build(*(split_counts(text, enc) if counts is None else counts))
 
-    def _build(self, words: list[tuple[int, int]]) -> None:
-        self.blocks = [words[i : i + BLOCK] for i in range(0, len(words), BLOCK)] or [[]]
+    def _build(self, lengths: np.ndarray, counts: np.ndarray) -> None:
+        self._stored = lengths, counts
+        self.blocks: list[list[tuple[int, int]] | None] = [None] * max(1, -(-len(lengths) // BLOCK))  # None: as stored
+        self.n_words = len(lengths)
         self.leaves = 1 << (len(self.blocks) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.leaves), [0] * (2 * self.leaves)
-        for i, b in enumerate(self.blocks):
-            self.chars[self.leaves + i], self.tokens[self.leaves + i] = sum(x[0] for x in b), sum(x[1] for x in b)
-        for i in range(self.leaves - 1, 0, -1):
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
-
-    def _split(self) -> list[tuple[int, int]]:
-        """(characters up to the next split, token count) of all pre-tokens."""
-        if self.whole:
-            return [(len(self.text), len(self.enc.tokenizer.encode(self.text, add_special_tokens=False).ids))] if self.text else []
-        pieces = self.enc.pieces(self.text)
-        return list(zip(map(len, pieces), self.enc.counts(pieces)))
+        self.chars, self.tokens = (sum_tree(np.pad(x, (0, self.leaves * BLOCK - len(x))).reshape(-1, BLOCK).sum(1)) for x in self._stored)
+
+    def _words(self, block: int) -> list[tuple[int, int]]:
+        if self.blocks[block] is None:
+            self.blocks[block] = list(zip(*(x[block * BLOCK : (block + 1) * BLOCK].tolist() for x in self._stored)))
+        return self.blocks[block]
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and counts of all pre-tokens."""
+        out = []
+        for k, x in enumerate(self._stored):
+            parts = [x[i * BLOCK : (i + 1) * BLOCK] if b is None else np.array([w[k] for w in b], np.int64) for i, b in enumerate(self.blocks)]
+            out.append(np.concatenate(parts))
+        return out[0], out[1]
 
     @property
     def total(self) -> int:
         return self.tokens[1]
 
-    @property
-    def n_words(self) -> int:
-        return sum(map(len, self.blocks))
-
-    def dump(self) -> bytes:
-        """Lengths and counts in the narrowest of 1, 2 or 4 bytes, which the first byte tells."""
-        flat = np.array([x for b in self.blocks for w in b for x in w], np.uint32)
-        size = 1 if not len(flat) or flat.max() < 1 << 8 else 2 if flat.max() < 1 << 16 else 4
-        return bytes([size]) + flat.astype(f"<u{size}").tobytes()
-
-    @classmethod
-    def load(cls, text: str, data: bytes, enc: Encoder) -> "CountTree":
-        flat = np.frombuffer(data, f"<u{data[0]}", offset=1).tolist()
-        return cls(text, enc, list(zip(flat[::2], flat[1::2])))
-
     def _block_at(self, position: int) -> tuple[int, int]:
         """The block that holds a character position, and the block's first position."""
         node, before = 1, 0
@@ -87,6 +104,7 @@ class CountTree:
         return node - self.leaves, before
 
     def _set(self, block: int, words: list[tuple[int, int]]) -> None:
+        self.n_words += len(words) - len(self._words(block))
         self.blocks[block] = words
         node = self.leaves + block
         self.chars[node], self.tokens[node] = sum(x[0] for x in words), sum(x[1] for x in words)
@@ -101,14 +119,14 @@ class CountTree:
         old_end, grown = position + delete, len(insert) - delete
         self.text = self.text[:position] + insert + self.text[old_end:]
         if self.whole:
-            self._build(self._split())
+            self._build(*split_counts(self.text, self.enc))
             self.encoded += self.n_words
             return
         # Start at the first pre-token that could depend on the edit.
         reach = self.enc.reach
         first, start = self._block_at(max(0, position - reach - 1))
         i = 0
-        words = self.blocks[first]
+        words = self._words(first)
         while i < len(words) and start + words[i][0] + reach <= position:
             start += words[i][0]
             i += 1
@@ -119,28 +137,28 @@ class CountTree:
             new.append(piece)
             at += len(piece)
             while old + grown < at or old < old_end:  # the old split at or behind this one
-                while j >= len(self.blocks[last]) and last + 1 < len(self.blocks):
+                while j >= len(self._words(last)) and last + 1 < len(self.blocks):
                     last, j = last + 1, 0
-                if j >= len(self.blocks[last]):
+                if j >= len(self._words(last)):
                     break
-                old += self.blocks[last][j][0]
+                old += self._words(last)[j][0]
                 j += 1
             if old >= old_end and old + grown == at:
                 break
         else:
-            last, j = len(self.blocks) - 1, len(self.blocks[-1])
+            last, j = len(self.blocks) - 1, len(self._words(len(self.blocks) - 1))
         self.encoded += len(new)
         words = kept + list(zip(map(len, new), self.enc.counts(new)))
         if last == first:
-            self._set(first, words + self.blocks[first][j:])
+            self._set(first, words + self._words(first)[j:])
         else:
-            tail = self.blocks[last][j:]
+            tail = self._words(last)[j:]
             self._set(first, words)
             for b in range(first + 1, last):
                 self._set(b, [])
             self._set(last, tail)
-        if len(self.blocks[first]) > 8 * BLOCK:  # rebalance; counts are kept, nothing is encoded
-            self._build([w for b in self.blocks for w in b])
+        if len(self._words(first)) > 8 * BLOCK:  # rebalance; counts are kept, nothing is encoded
+            self._build(*self.flat())
 
 
 def build_trees(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,9 +168,9 @@ def build_trees(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
         enc = encoder(tokenizer)
         for batch in portions(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            trees = [CountTree(t, enc) for t in texts]
-            sizes = [pa.array([t.total for t in trees], pa.int64()), pa.array([t.n_words for t in trees], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *sizes, pa.array([t.dump() for t in trees], pa.binary())], ["doc_id", "text", "n_tokens", "n_pretokens", "tree"])
+            counts = [split_counts(t, enc) for t in texts]
+            sizes = [pa.array([int(n.sum()) for _, n in counts], pa.int64()), pa.array([len(n) for _, n in counts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *sizes, pa.array([dump(*c) for c in counts], pa.binary())], ["doc_id", "text", "n_tokens", "n_pretokens", "tree"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return rows.mapInArrow(task, "doc_id long, text string, n_tokens long, n_pretokens long, tree binary")
@@ -172,12 +190,12 @@ def apply_edits(trees: DataFrame, tokenizer: str, keep: bool = True) -> DataFram
         for batch in portions(batches, 1):
             rows, after = [], []
             for doc_id, text, n, words, data, script in zip(*(c.to_pylist() for c in batch.columns)):
-                tree = CountTree.load(text, data, enc)
+                tree = CountTree(text, enc, load(data))
                 for e in script or []:
                     if e is not None:
                         tree.edit(e["position"] or 0, e["delete"] or 0, e["insert"] or "")
                 rows.append((doc_id, n, words, len(script or []), tree.encoded, tree.total, tree.n_words, len(tree.text)))
-                after.append((tree.text, tree.dump()) if keep else None)
+                after.append((tree.text, dump(*tree.flat())) if keep else None)
             columns = [pa.array(list(c), pa.int64()) for c in zip(*rows)]
             if keep:
                 columns += [pa.array([a[0] for a in after], pa.string()), pa.array([a[1] for a in after], pa.binary())]

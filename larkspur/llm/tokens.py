@@ -34,7 +34,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.most, self.cache, self.sizes = most, {}, {}
+        self.most, self.cache, self.sizes = most, {}, Sizes(self)
         self.unsafe = regex.compile(UNSAFE).search
         self.lower = False
         pattern = None
@@ -142,10 +142,19 @@ class Encoder:
         """Tokens of each piece of pieces()."""
         if len(self.sizes) > self.most:
             self.sizes.clear()
-        sizes = self.sizes
-        for p in set(pieces).difference(sizes):
-            sizes[p] = 1 if p in self.added else len(self.model(p))
-        return list(map(sizes.__getitem__, pieces))
+        return list(map(self.sizes.__getitem__, pieces))
+
+
+class Sizes(dict):
+    """Tokens of a piece, counted when it is first asked for."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = 1 if piece in self.encoder.added else len(self.encoder.model(piece))
+        return n
 
 
 @lru_cache(maxsize=2)
