@@ -214,9 +214,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         )
         small = materialize(small, "small")
         # Done when every node has one edge and it leads to a root.
-        top = small.select(F.col("b").alias("r")).distinct()
-        n, distinct_a = small.count(), small.select("a").distinct().count()
-        done = n == distinct_a and small.join(top, small["a"] == top["r"], "left_semi").isEmpty()
+        ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+        nodes = small.select(ends.alias("e")).select("e.*").groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        state = nodes.agg(F.sum("up").alias("n"), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).alias("unsettled")).first()
+        n, done = state["n"] or 0, not state["unsettled"]
         edges = small
         if done:
             break
